@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, quality, simhash, syncmers
+from . import exact_dedup, langid, mixing, packing, quality, simhash, suffix_dedup, syncmers, token_tree, warc
 from .columns import id_bucket
+from .store import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,11 +30,31 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+def op6_token_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits of it: an insertion, a replacement and a deletion."""
+    n, text = F.char_length("text"), F.col("text")
+    edit = lambda start, deleted, inserted: F.struct(F.floor(start).cast("int").alias("start"), F.lit(deleted).alias("deleted"), inserted.alias("inserted"))
+    edits = F.array(edit(n / 4, 0, F.substring(text, 1, 40)), edit(n / 2, 25, F.reverse(F.substring(text, 1, 16))), edit(3 * n / 4, 60, F.lit("")))
+    found = token_tree.count_edits(_table(spark, sf_dir, "documents"), edits)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.duplicate_groups(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -56,11 +77,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_language, op4_simhash, op7_exact_dedup, op8_syncmers, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_mixing, op2_language, op3_repeats, op4_simhash, op5_warc, op6_token_edits, op7_exact_dedup, op8_syncmers, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op5_warc": OP5_SQL, "op7_exact_dedup": OP7_SQL}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -74,3 +95,21 @@ select doc_id,
        sha256(norm) as text_sha256
 from t
 """
+
+#: Five bits at a time of the hex digits of SHA-1, as base32 letters.
+_NIBBLE = "(strpos('0123456789abcdef', substr(h, {}, 1)) - 1)"
+OP5_SQL = f"""
+with t as (select page_id, url, coalesce(html, '') as body from pages),
+d as (select page_id, url, body, octet_length(encode(body)) as payload_bytes, sha1(body) as h from t),
+e as (
+  select *, {" || ".join(
+      "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ("
+      + f"({_NIBBLE.format(5 * i // 4 + 1)} * 16 + {_NIBBLE.format(5 * i // 4 + 2)}) // {1 << (3 - 5 * i % 4)}"
+      + ") % 32 + 1, 1)" for i in range(32))} as payload_digest,
+    min(page_id) over (partition by h) as first
+  from d)
+select page_id, payload_bytes, payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to, url
+from e
+"""
