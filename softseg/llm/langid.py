@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 DIM, NGRAM, SEED = 1024, 3, 2
 UNDETERMINED = "und"
@@ -147,7 +148,7 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], text_col: str = "t
     unit = np.stack([learned[n] / np.linalg.norm(learned[n]) for n in names]).astype(np.float32) if names else None
     held = docs.sparkSession.sparkContext.broadcast((names, unit))
     rest = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").cast("string").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").cast("string").alias(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder()
@@ -165,8 +166,7 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], text_col: str = "t
                 scores += np.where(some, np.clip(cosine[np.arange(len(texts)), best], 0, 1), 0).astype(float).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*rest, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}{', ' if schema else ''}lang_pred string, score double")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def learn_and_identify(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

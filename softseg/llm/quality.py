@@ -19,6 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .rows import packed, unpacked
 
 #: Labelled rows used for fitting; its features are what the driver collects.
 SAMPLE_ROWS = 6_000
@@ -161,29 +164,36 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     return fit_model([np.frombuffer(f, "<i4") for f in got["found"]], got["label"].to_numpy())
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``score`` (0 to 1) instead of the text; null texts score as empty ones.
-
-    An input column named ``score`` is replaced.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c not in (text_col, "score")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").cast("string").alias("_text"))
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    """Rows whose last column is a text, with the score in its place."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+    fields = rows.schema.fields[:-1]
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(N_FEATURES, bool)
         for batch in batches:
-            scores = [held.value.score(features(t.as_py(), seen)) for t in batch.column(len(rest))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(scores, pa.float64())], names=[*rest, "score"])
+            scores = [held.value.score(features(t.as_py(), seen)) for t in batch.column(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores, pa.float64())], names=[*names, "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}{', ' if schema else ''}score double")
+    return rows.mapInArrow(run, StructType([*fields, StructField("score", DoubleType())]))
+
+
+def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with a column ``score`` (0 to 1) instead of the text; null texts score as empty ones.
+
+    An input column named ``score`` is replaced.
+    """
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "score")]
+    return _scored(docs.select(*rest, F.col(f"`{text_col}`").cast("string").alias(text_col)), model)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score below ``threshold``, all columns, in one pass over the texts."""
+    """``docs`` without the rows that score below ``threshold``, all columns, in one pass over the texts.
+
+    Null texts are judged as empty ones, rows that repeat are judged alike; an
+    empty table or labels without rows reject nothing that the threshold spares.
+    """
     model = train(docs, labels, usable, id_col, text_col)
-    names = docs.columns
-    free = next(f"_{i}" for i in range(len(names) + 1) if f"_{i}" not in names)
-    scored = score(docs.withColumn(free, F.col(f"`{text_col}`")), model, free)
-    return scored.filter(F.col("score") >= threshold).select(*[F.col(f"`{c}`") for c in names])
+    rows = packed(docs, text=F.col(f"`{text_col}`").cast("string"))
+    return unpacked(_scored(rows, model).filter(F.col("score") >= threshold))

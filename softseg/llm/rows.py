@@ -1,4 +1,7 @@
-"""Keeping chosen rows of a table."""
+"""Keeping chosen rows of a table, whatever its columns are called.
+
+A row travels as one struct beside the helper columns, so no name can clash.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +9,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def packed(docs: DataFrame, **helpers: Column) -> DataFrame:
+    """(row struct of all columns, helper columns...)."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in helpers.items()])
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, digest: Column) -> DataFrame:
     """Rows of ``docs`` whose (id, digest) is in ``kept`` (id, digest), all columns.
 
     Ids match null-safely.  Rows that repeat both are one row in the result;
     the join leaves them side by side, so telling them apart shuffles nothing.
     """
-    right = kept.select(F.col("id").alias("_keep_id"), F.col("digest").alias("_keep_digest"))
-    keyed = docs.withColumn("_digest", digest)
-    same = keyed[f"`{id_col}`"].eqNullSafe(right["_keep_id"]) & keyed["_digest"].eqNullSafe(right["_keep_digest"])
-    once = Window.partitionBy(F.col(f"`{id_col}`"), "_digest").orderBy("_digest")
-    joined = keyed.join(right, same, "left_semi")
-    return joined.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = packed(docs, id=F.col(f"`{id_col}`"), digest=digest)
+    right = kept.select(F.col("id").alias("keep_id"), F.col("digest").alias("keep_digest"))
+    joined = keyed.join(right, F.col("id").eqNullSafe(F.col("keep_id")) & F.col("digest").eqNullSafe(F.col("keep_digest")), "left_semi")
+    once = Window.partitionBy("id", "digest").orderBy("digest")
+    return unpacked(joined.withColumn("nth", F.row_number().over(once)).filter("nth = 1"))

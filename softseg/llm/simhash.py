@@ -12,6 +12,7 @@ forest of its links, never all pairs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -30,8 +31,9 @@ SEGMENTS, SEGMENT_BITS, RADIUS = 8, 8, 2
 SHINGLE_WORDS, SEED = 3, 42
 #: Left-out pairs of segments, one table each.
 TABLES = tuple(combinations(range(SEGMENTS), 2))
-#: Texts are hashed together up to this many shingles, to bound memory.
-BLOCK = 1 << 16
+#: Bytes of a text that are cut into words in one go, and hashes counted in one go.
+PIECE, BLOCK = 1 << 20, 1 << 16
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 #: A byte's bits, each in a lane of 16 bits: two words of four lanes.
 _LANES = np.array([[sum(((b >> (4 * half + k)) & 1) << (16 * k) for k in range(4)) for half in range(2)] for b in range(256)], dtype=np.uint64)
@@ -49,25 +51,34 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
+def _shingles(raw: bytes, words: int) -> Iterator[list[bytes]]:
+    """The shingles of a text, piece by piece; a text of fewer words is one shingle."""
+    carry: list[bytes] = []
+    at, some = 0, False
+    while at < len(raw):
+        space = _SPACE.search(raw, at + PIECE)
+        stop = space.start() if space else len(raw)
+        tokens = carry + raw[at:stop].split()
+        at = stop
+        if len(tokens) >= words:
+            some = True
+            yield list(map(b" ".join, zip(*(tokens[i:] for i in range(words)))))
+            carry = tokens[len(tokens) - words + 1 :]
+        else:
+            carry = tokens
+    if carry and not some:
+        yield [b" ".join(carry)]
+
+
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     """SimHash of a whole text; 0 for a text without words."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return 0
-    shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words)))) if len(tokens) >= words else [b" ".join(tokens)]
     n, total = 0, np.zeros(64, np.int64)
-    hashed = map(xxhash.xxh64_intdigest, shingles, repeat(SEED))
-    while len(block := np.fromiter(_take(hashed, BLOCK), np.uint64)):
+    for block in _shingles((text or "").encode("utf-8", "surrogatepass").lower(), words):
         n += len(block)
-        total += _bit_counts(block)
+        total += _bit_counts(np.fromiter(map(xxhash.xxh64_intdigest, block, repeat(SEED)), np.uint64, len(block)))
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def _take(items: Iterator, n: int) -> Iterator:
-    for _, x in zip(range(n), items):
-        yield x
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """(id, digest, fp long: the 64 bits as a signed number) of every row; null texts count as empty."""
 
