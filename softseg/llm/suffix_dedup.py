@@ -26,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import text_or_empty
@@ -40,6 +40,8 @@ PIECE = 1 << 21
 SHALLOW = 224
 #: Surroundings sorted together, about.
 SORT_ROWS = 40_000
+#: Anchors that may share a core; those of commoner cores are split by ``SPLIT`` places each, and meet by the longer core.
+HOT_ROWS, SPLIT = 20_000, 8
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOCAL = np.uint64((1 << 24) - 1)
 
@@ -262,6 +264,19 @@ def repeated_places(around: list[bytes], group: np.ndarray, least: np.ndarray, m
     return low, high
 
 
+def _split(raw: memoryview, h: int, place: int, least: int, most: int) -> Iterator[tuple[int, int, int]]:
+    """(group, least, most) for every few places of a hot anchor: the group is a hash of all bytes that its strings share.
+
+    Equal strings have equal places, so they stay together; strings that only
+    have the common core in common part.
+    """
+    for lo in range(least - least % SPLIT, most + 1, SPLIT):
+        hi = lo + SPLIT - 1
+        core = raw[max(place - lo, 0) : place - hi + LENGTH]
+        group = int.from_bytes(hashlib.blake2b(core, digest_size=8, key=h.to_bytes(8, "little", signed=True) + lo.to_bytes(2, "little")).digest(), "little", signed=True)
+        yield group, max(lo, least), min(hi, most)
+
+
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors with the bytes around them; equal ones of a batch go out once, and are known to be repeats."""
     for batch in batches:
@@ -284,10 +299,11 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
         for key, raw, marks in zip(*(batch.column(i) for i in range(3))):
             key, raw = key.as_py(), memoryview(raw.as_buffer())
-            fields = [marks.values.field(i).to_numpy(zero_copy_only=False).tolist() for i in range(4)]
-            for h, place, least, most in zip(*fields):
-                around = bytes(raw[place - most : place - least + LENGTH])
-                found.setdefault((h, least, most, around), []).append((key, place))
+            fields = [marks.values.field(i).to_pylist() for i in range(5)]
+            for h, place, least, most, hot in zip(*fields):
+                for group, lo, hi in _split(raw, h, place, least, most) if hot else ((h, least, most),):
+                    around = bytes(raw[place - hi : place - lo + LENGTH])
+                    found.setdefault((group, lo, hi, around), []).append((key, place))
             if len(found) >= SORT_ROWS:
                 yield flush()
         yield flush()
@@ -369,8 +385,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Copies of a text would repeat all its anchors; each text comes once, and the shuffle that sees to it is used again.
     texts = long.groupBy("key").agg(F.first("raw").alias("raw"))
     marks = texts.mapInArrow(mark, "key binary, place long, least int, most int, h long")
-    shared = marks.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("n > 1")
-    wanted = shared.groupBy("key").agg(F.collect_set(F.struct("h", "place", "least", "most")).alias("marks"))
+    # Counted before they are joined: a core that very many texts share is combined in each task, and its join can be split.
+    common = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", (F.col("n") > HOT_ROWS).alias("hot"))
+    shared = marks.join(common, "h")
+    wanted = shared.groupBy("key").agg(F.collect_set(F.struct("h", "place", "least", "most", "hot")).alias("marks"))
     around = texts.join(wanted, "key").select("key", "raw", "marks").mapInArrow(_surroundings, "h long, key binary, place long, least int, most int, around binary, known boolean")
     covered = around.repartition("h").sortWithinPartitions("h").mapInPandas(_covered, "key binary, start long, stop long")
     spans = covered.groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))

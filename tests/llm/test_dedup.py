@@ -163,6 +163,16 @@ def test_long_texts_in_pieces(spark, monkeypatch):
     suffix_dedup._powers.cache_clear()
 
 
+def test_hot_cores_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = noise(1_000)
+    rows = {i: noise(int(rng.integers(0, 300))) + passage[int(a) :] + noise(int(rng.integers(0, 300))) for i, a in enumerate(rng.integers(0, 500, 30))}
+    frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 2)
+    check_spans(frame, {i: t.encode() for i, t in rows.items()})
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.text("ab\0", max_size=12), st.integers(0, 2)), min_size=1, max_size=40))
 def test_deep_shallow_sorts(pairs):
