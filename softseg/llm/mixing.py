@@ -24,7 +24,7 @@ from .rows import packed, unpacked
 from .store import materialise
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 #: Lightest units of a source, whose landing looks at all their subsets.
 LAST = 12
 #: Sources up to this many are broadcast; beyond it the join is shuffled.
