@@ -16,6 +16,7 @@ from softseg.functions import membership as mf
 from softseg.functions import scalars
 from softseg.operators import compliance, counts, fuzzify, heuristics, indicators, profiles, rules, scale
 from softseg.sources import driver_tables as src
+from softseg.streaming import daily
 
 from . import sql as S
 
@@ -164,6 +165,15 @@ def indicator_summary(spark, d):
     return rounded(indicators.summary(_ind(spark, d).select("user_id", *indicators.SCALARS)))
 
 
+_DAILY = sorted({k.replace(".", "_") for p in src.EVENT_ROLES.values() for k in p})
+
+
+@query(f"with {S.EVENTS} select user_id, cast(timestamp as date) as day, count(*) as n_events, {', '.join(f"count(case when replace(event_type, '.', '_') = '{k}' then 1 end) as n_{k}" for k in _DAILY)} from ev group by 1, 2")
+def daily_counts(spark, d):
+    """The batch twin of the streaming roll-up."""
+    return daily.daily_counts(src.api_events(spark, d)).select("user_id", "day", "n_events", *[f"n_{k}" for k in _DAILY])
+
+
 # Heuristics.
 
 
