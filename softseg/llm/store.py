@@ -1,39 +1,5 @@
-"""Shared folder for intermediate tables.
+"""Shared folder for intermediate tables, as the rest of the library has it."""
 
-Operators that read an intermediate result more than once write it as Parquet
-to the folder that the cluster names in ``spark.checkpoint.dir``.  The lineage
-ends there, so a lost executor costs a re-read and never a recomputation.
-"""
+from softseg.sources.store import materialise, new_path, shared_dir
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; in local mode a new one if unset."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="spark-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and return the written table."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialise", "new_path", "shared_dir"]
