@@ -168,10 +168,10 @@ def indicator_summary(spark, d):
 _DAILY = sorted({k.replace(".", "_") for p in src.EVENT_ROLES.values() for k in p})
 
 
-@query(f"with {S.EVENTS} select user_id, cast(timestamp as date) as day, count(*) as n_events, {', '.join(f"count(case when replace(event_type, '.', '_') = '{k}' then 1 end) as n_{k}" for k in _DAILY)} from ev group by 1, 2")
+@query(f"with {S.EVENTS} select user_id, cast(cast(timestamp as date) as varchar) as day, count(*) as n_events, {', '.join(f"count(case when replace(event_type, '.', '_') = '{k}' then 1 end) as n_{k}" for k in _DAILY)} from ev group by 1, 2")
 def daily_counts(spark, d):
     """The batch twin of the streaming roll-up."""
-    return daily.daily_counts(src.api_events(spark, d)).select("user_id", "day", "n_events", *[f"n_{k}" for k in _DAILY])
+    return daily.daily_counts(src.api_events(spark, d)).select("user_id", F.col("day").cast("string").alias("day"), "n_events", *[f"n_{k}" for k in _DAILY])
 
 
 # Heuristics.
