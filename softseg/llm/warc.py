@@ -46,17 +46,18 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(
         F.col(f"`{id_col}`").alias("id"),
+        F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("none")).alias("k"),
         F.regexp_replace(F.col(f"`{url_col}`").cast("string"), r"[\x00-\x20\x7f]", "%20").alias("url"),
         payload.alias("payload"),
         F.octet_length(payload).cast("long").alias("size"),
         F.unhex(F.sha1(payload)).alias("digest"),
     )
-    keys = rows.select("id", "digest", "size")
+    keys = rows.select("id", "k", "digest", "size")
     firsts = keys.groupBy("digest", "size").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    again = keys.filter(F.col("size") >= min_revisit).join(firsts, "digest").select("id", "digest", "first").distinct()
-    again = again.withColumnsRenamed({"id": "_id", "digest": "_digest"}).withColumn("_same", F.lit(True))
-    rows = rows.join(again, rows["id"].eqNullSafe(again["_id"]) & (rows["digest"] == again["_digest"]), "left").drop("_id", "_digest")
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id", "digest").orderBy("digest")))
+    again = keys.filter(F.col("size") >= min_revisit).join(firsts, "digest").select("k", "digest", "first", F.lit(True).alias("_same")).distinct()
+    # The payloads move once: the join and the numbering of rows that repeat both id and payload find them in place.
+    rows = rows.repartition("k", "digest").join(again, ["k", "digest"], "left")
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("k", "digest").orderBy("digest")))
     revisit = F.col("_same").isNotNull() & ~(F.col("id").eqNullSafe(F.col("first")) & (F.col("nth") == 1))
     name = lambda c, nth: F.concat(F.lit(f"<{RECORD_URN}:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(":"), F.base64("digest"), F.lit(":"), nth.cast("string"), F.lit(">"))
     block = F.length(F.lit(HTTP_HEAD)) + F.when(revisit, 0).otherwise(F.col("size"))
