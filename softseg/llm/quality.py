@@ -1,7 +1,7 @@
 """Quality classifier: a linear support vector machine on naive Bayes features.
 
-A text becomes the set of its byte bigrams and trigrams.  Each indicator is
-scaled by the log-count ratio of the classes (naive Bayes), the vector is
+A text becomes the set of its byte bigrams and trigrams and of the runs of
+equal words in it.  Each indicator is scaled by the log-count ratio of the classes (naive Bayes), the vector is
 brought to unit length, and a squared-hinge linear model is fitted by dual
 coordinate descent.  A sigmoid fitted on rows that the model did not see turns
 margins into scores.
@@ -26,7 +26,9 @@ from .rows import packed, unpacked
 #: Labelled rows used for fitting; its features are what the driver collects.
 SAMPLE_ROWS = 6_000
 BITS = 16
-N_FEATURES = 1 << (BITS + 1)
+#: Indicators of words that repeat at once: runs of 2, 4, 8, ... equal words.
+RUNS = 8
+N_FEATURES = (1 << (BITS + 1)) + RUNS
 #: Bytes looked at in one go; longer texts are read in overlapping pieces.
 PIECE = 1 << 20
 THRESHOLD = 0.3
@@ -42,11 +44,27 @@ def features(text: str | None, seen: np.ndarray) -> np.ndarray:
         seen[two + (1 << BITS)] = True
         if len(c) > 2:
             seen[(((two[:-1] << np.uint32(8)) | c[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BITS)] = True
+    longest = longest_run(text or "")
+    seen[(1 << (BITS + 1)) : (1 << (BITS + 1)) + min(longest.bit_length() - 1, RUNS)] = longest > 1
     found = np.flatnonzero(seen)
     seen[found] = False
     return found
 
 
+def longest_run(text: str) -> int:
+    """Length of the longest run of equal words."""
+    words = text.split()
+    longest = run = min(len(words), 1)
+    for a, b in zip(words, words[1:]):
+        if a == b:
+            run += 1
+            if run > longest:
+                longest = run
+        else:
+            run = 1
+    return longest
+
+
 @dataclass(frozen=True)
 class Model:
     """``ratio``: class log-count ratios; ``weight``: of each scaled feature; sigmoid(slope * margin + shift)."""
