@@ -17,6 +17,7 @@ from softseg.functions.scalars import share
 
 from .compliance import MIN_GROUP
 from .indicators import HOURS
+from .quantiles import exact_quantiles
 
 NORMALISATIONS = ("none", "minmax", "log_minmax", "quantile")
 ALPHA_LEVELS = (0.2, 0.5, 0.8)
@@ -97,12 +98,10 @@ def _scaled(x: Column, how: str) -> Column:
 
 def bounds(frame: DataFrame, columns: Mapping[str, str]) -> dict[str, tuple[float, float]]:
     """Indicator -> (low, high): the 0 and 0.99 quantiles of the scaled values, exact, of all indicators at once."""
-    if not columns:
-        return {}
-    row = frame.agg(*[F.percentile(_scaled(F.col(c), how), F.array(F.lit(0.0), F.lit(UPPER_QUANTILE))).alias(c) for c, how in columns.items()]).first()
+    found = exact_quantiles(frame, {c: _scaled(F.col(c), how) for c, how in columns.items()}, (0.0, UPPER_QUANTILE))
     out = {}
-    for c in columns:
-        lo, hi = row[c] or (0.0, 0.0)
+    for c, (lo, hi) in found.items():
+        lo, hi = lo or 0.0, hi or 0.0
         out[c] = (lo, hi if hi > lo else lo + 1e-9)
     return out
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 TINY = 1e-12
 
 
@@ -25,7 +27,7 @@ def log1p(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def winsorize(frame: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Values clipped to exact quantiles of their column."""
-    at = _stats(frame, columns, lambda x: F.percentile(x, low), lambda x: F.percentile(x, high))
+    at = exact_quantiles(frame, {c: F.col(c) for c in columns}, (low, high))
     return _with(frame, columns, lambda c: F.least(F.greatest(F.col(c).cast("double"), F.lit(at[c][0])), F.lit(at[c][1])))
 
 
@@ -35,8 +37,8 @@ def _affine(frame: DataFrame, columns: Sequence[str], at: dict[str, tuple[float,
 
 def robust_scale(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x - median) / interquartile range; a range of 0 counts as 1."""
-    at = _stats(frame, columns, lambda x: F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    return _affine(frame, columns, {c: (q[1], (q[2] - q[0]) or 1.0) for c, (q,) in at.items()})
+    at = exact_quantiles(frame, {c: F.col(c) for c in columns}, (0.25, 0.5, 0.75))
+    return _affine(frame, columns, {c: (q[1] or 0.0, ((q[2] or 0.0) - (q[0] or 0.0)) or 1.0) for c, q in at.items()})
 
 
 def standard_scale(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -83,7 +85,7 @@ def full_resolution(frame: DataFrame, columns: Sequence[str], low: float = 0.01,
 def impute_median(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls, NaN and infinities as the median of the rest."""
     good = lambda x: F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
-    at = _stats(frame, columns, lambda x: F.percentile(good(x), 0.5))
+    at = exact_quantiles(frame, {c: good(F.col(c).cast("double")) for c in columns}, (0.5,))
     return _with(frame, columns, lambda c: F.coalesce(good(F.col(c).cast("double")), F.lit(at[c][0])))
 
 

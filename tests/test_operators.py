@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from softseg.functions import scalars
-from softseg.operators import clustering, compliance, counts, fuzzify, heuristics, indicators, profiles, reduce, rules, scale, validity
+from softseg.operators import clustering, compliance, counts, fuzzify, heuristics, indicators, profiles, quantiles, reduce, rules, scale, validity
 
 
 def test_titles(spark):
@@ -182,3 +182,14 @@ def test_recent_post(spark):
     asks = spark.createDataFrame([(0, datetime(2024, 1, 1), 0.5), (1, datetime(2025, 1, 2, 1), 0.99), (2, datetime(2025, 2, 1), 0.0)], "id int, ts timestamp_ntz, pick double")
     got = {r["id"]: (r["seen"], r["post_id"]) for r in counts.recent_post(asks, posts, 2).collect()}
     assert got == {0: (0, 0), 1: (4, 3), 2: (9, 7)}
+
+
+def test_exact_quantiles_of_many_rows(spark):
+    rng = np.random.default_rng(8)
+    data = np.concatenate([rng.normal(size=4_000), np.repeat([0.5, 0.7], 900), rng.integers(0, 5, 700)])
+    rng.shuffle(data)
+    rows = spark.createDataFrame([(float(v), float(i % 3)) for i, v in enumerate(data)] + [(None, 1.0)], "a double, b double").repartition(4)
+    qs = (0.0, 0.01, 0.25, 0.5, 0.99, 1.0)
+    got = quantiles.exact_quantiles(rows, {"a": F.col("a"), "b": F.col("b")}, qs, small_rows=10, accuracy=100)
+    assert got["a"] == pytest.approx(list(np.quantile(data, qs))) and got["a"] == pytest.approx(quantiles.exact_quantiles(rows, {"a": F.col("a")}, qs)["a"])
+    assert got["b"] == pytest.approx(list(np.quantile([float(i % 3) for i in range(len(data))] + [1.0], qs)))
