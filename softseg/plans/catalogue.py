@@ -23,7 +23,7 @@ from . import sql as S
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-SALT = "retail-case"
+SALT = "softseg"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
