@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from softseg.functions.membership import membership
 
+from .quantiles import exact_quantiles
+
 # Terms of the context attributes, and the default rules.
 CONTEXT_TERMS = {
     "hierarchy_score": {"low": {"family": "sigmoidal", "params": [-1.5, 3.0]}, "high": {"family": "sigmoidal", "params": [1.5, 6.0]}},
@@ -83,7 +84,8 @@ class RuleLayer:
             out.strengths = {r["name"]: F.lit(0.0) for r in self.rules}
             return out
         below = sorted({t["denominator"] for r in self.rules for t in r["then"] if t["action"] == "relative_indicator"})
-        medians = frame.agg(*[F.percentile(F.when(F.col(d) > 0, F.col(d).cast("double")), 0.5).alias(d) for d in below]).first() if below else {}
+        found = exact_quantiles(frame, {d: F.when(F.col(d) > 0, F.col(d).cast("double")) for d in below}, (0.5,))
+        medians = {d: q for d, (q,) in found.items()}
         for rule in self.rules:
             s = self.strength(rule, frame.columns)
             out.strengths[rule["name"]] = s
@@ -110,7 +112,3 @@ class RuleLayer:
         said = lambda p: f"{p['attribute']} {'== ' + str(p['equals']) if 'equals' in p else ('is not ' if p.get('not') else 'is ') + p['is']}"
         ends = lambda t: f"{t['action']}({', '.join(f'{k}={v}' for k, v in t.items() if k != 'action')})"
         return [f"IF {f' {r.get('operator', 'and').upper()} '.join(map(said, r['if']))} THEN {'; '.join(map(ends, r['then']))}" for r in self.rules]
-
-
-def columns_of(parts: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, parts)
