@@ -16,6 +16,8 @@ from .rows import keep_rows
 from .store import materialise
 
 PREFIX_CHARS = 128
+#: Tasks, at most, over which the rows of one key are spread.
+SALTS = 16
 
 
 def duplicate_groups(
@@ -43,10 +45,12 @@ def duplicate_groups(
         ),
         "exact-keys",
     )
-    survivors = keys
+    # The few shared keys are repeated for each salt, so the rows of a hot one are looked up in many tasks.
+    survivors = keys.withColumn("_salt", F.pmod("_row", F.lit(SALTS)).cast("int"))
     for step in (["_len"], ["_len", "_prefix"]):
         shared = survivors.groupBy(*step).count().filter("count > 1").select(*step)
-        survivors = survivors.join(shared, step, "left_semi")
+        shared = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        survivors = survivors.join(shared, [*step, "_salt"], "left_semi")
     full = ["_len", "_prefix", "digest"]
     groups = (
         survivors.groupBy(*full)
