@@ -4,7 +4,7 @@ A text is read as units, runs of up to eight characters without white space.
 A window of four units is a closed syncmer if, of its three inner pairs of
 units, the one with the smallest hash stands at an edge of the window.  That
 depends on the window alone, so an edit moves no anchor outside the windows
-that it touches.  A fingerprint is the bottom-k sketch of a text's syncmers.
+that it touches.  A fingerprint is all syncmers of a text with their positions.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from .columns import row_digest, text_or_empty
 
 UNIT = r"[^\x20\x09-\x0D]{1,8}"
 WINDOW, INNER = 4, 2
-#: Hashes in a fingerprint, at most, and their bits.
-SKETCH, HASH_BITS = 128, 32
+#: Bits of a hash in a fingerprint.
+HASH_BITS = 32
 #: Neighbour search: documents in a bucket of ids, about, and buckets at most.
 BUCKET_ROWS, MAX_BUCKETS, FANOUT = 2_000, 4_096, 64
 
@@ -60,28 +60,24 @@ def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.filter(found, lambda x: x.isNotNull()), F.array().cast("array<struct<pos:int,hash:bigint>>")).alias("anchors"))
 
 
-def sketch(text: Column) -> Column:
-    """Ascending distinct syncmer hashes of a whole text, the smallest ``SKETCH`` of them."""
+def all_anchors(text: Column) -> Column:
+    """The syncmers (pos, hash) of a whole text in order, the hashes cut to ``HASH_BITS``."""
     mask = F.lit((1 << HASH_BITS) - 1)
-    found = _window_hashes(text, lambda i, chosen, h: F.when(chosen, h.bitwiseAND(mask)))
-    some = F.filter(found, lambda x: x.isNotNull())
-    return F.coalesce(F.slice(F.array_sort(F.array_distinct(some)), 1, SKETCH), F.array().cast("array<bigint>"))
+    found = _window_hashes(text, lambda i, chosen, h: F.when(chosen, F.struct(i.cast("int").alias("pos"), h.bitwiseAND(mask).alias("hash"))))
+    return F.coalesce(F.filter(found, lambda x: x.isNotNull()), F.array().cast("array<struct<pos:int,hash:bigint>>"))
 
 
-def as_text(hashes: Column) -> Column:
-    """A sketch as a string, eight hex digits a hash."""
-    return F.array_join(F.transform(hashes, lambda x: F.lower(F.lpad(F.hex(x), HASH_BITS // 4, "0"))), "")
+def as_text(anchors: Column) -> Column:
+    """Anchors as a string, sixteen hex digits each: position, then hash."""
+    digits = lambda x: F.lower(F.lpad(F.hex(x), HASH_BITS // 4, "0"))
+    return F.array_join(F.transform(anchors, lambda x: F.concat(digits(x["pos"]), digits(x["hash"]))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of two syncmer sets, estimated from their sketches; two empty ones are alike.
-
-    Sketches that hold their whole sets are compared exactly.
-    """
-    room = F.when((F.size(a) < SKETCH) & (F.size(b) < SKETCH), 2 * SKETCH).otherwise(SKETCH)
-    lowest = F.slice(F.array_sort(F.array_union(a, b)), F.lit(1), room)
-    jaccard = _let(lowest, lambda low: F.size(F.array_intersect(F.array_intersect(a, b), low)) / F.nullif(F.size(low), F.lit(0)))
-    return F.coalesce(2 * jaccard / (1 + jaccard), F.lit(1.0))
+    """Dice coefficient of the hashes of two texts' complete anchors, exact on them; two empty ones are alike."""
+    hashes = lambda x: F.array_distinct(F.transform(x, lambda y: y["hash"]))
+    dice = _let(F.struct(hashes(a).alias("x"), hashes(b).alias("y")), lambda s: 2 * F.size(F.array_intersect(s["x"], s["y"])) / F.nullif(F.size(s["x"]) + F.size(s["y"]), F.lit(0)))
+    return F.coalesce(dice, F.lit(1.0))
 
 
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
@@ -133,10 +129,11 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     text = text_or_empty(text_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).withColumn("digest", row_digest(F.col("text")))
-    pairs = with_next(rows.withColumn("fp", sketch(F.col("text"))), ["text", "fp"])
+    pairs = with_next(rows, ["text"])
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    pairs = pairs.withColumn("edited", edited).withColumn("edited_fp", sketch(F.col("edited")))
+    pairs = pairs.withColumn("edited", edited)
+    pairs = pairs.withColumns({"fp": all_anchors(F.col("text")), "edited_fp": all_anchors(F.col("edited")), "next_fp": all_anchors(F.col("next_text"))})
     return pairs.select(
         "id",
         F.char_length("text").cast("long").alias("n_chars"),

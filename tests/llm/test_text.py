@@ -230,3 +230,13 @@ def test_syncmers_odd_rows(odd, none):
     assert same[0]["fingerprint"] == same[1]["fingerprint"]
     alone = syncmers.fingerprint_edits(odd.filter("doc_id = 9 and text like 'z%'")).first()
     assert alone["near_next"] == 1.0
+
+
+def test_long_texts_keep_all_their_anchors(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(100_000)}" for _ in range(6_000)]
+    rows = [(n, " ".join([*words[: 100 * n], *(f"x{i}" for i in range(20)), *words[100 * n + 20 :]])) for n in range(1, 6)] + [(9, " ".join(words))]
+    found = {r["id"]: r for r in syncmers.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({r["fingerprint"] for r in found.values()}) == 6
+    assert all(0.98 < found[i]["near_next"] < 1.0 for i in found)
+    assert all(len(r["fingerprint"]) > 16 * 3_000 for r in found.values())
