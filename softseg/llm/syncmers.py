@@ -1,14 +1,21 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text is read as units, runs of up to eight characters without white space.
-A window of four units is a closed syncmer if, of its three inner pairs of
-units, the one with the smallest hash stands at an edge of the window.  That
-depends on the window alone, so an edit moves no anchor outside the windows
-that it touches.  A fingerprint is all syncmers of a text with their positions.
+A k-mer is ``K`` code points that follow one another anywhere in a text.  It
+is a closed syncmer if, of its inner substrings of ``INNER`` code points, one
+with the smallest hash stands at its first or last place.  That depends on the
+k-mer alone: an edit moves no anchor outside the k-mers that it touches, in
+text with or without white space.  A fingerprint is all syncmers of a text
+with their positions.
+
+Because anchors know nothing of their context, those of a text put together
+from parts of other texts are the parts' own, shifted, and the few k-mers
+across the seam; an edited text is never hashed as a whole.
 """
 
 from __future__ import annotations
 
+import base64
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,12 +23,15 @@ from pyspark.sql import functions as F
 
 from .columns import row_digest, text_or_empty
 
-UNIT = r"[^\x20\x09-\x0D]{1,8}"
-WINDOW, INNER = 4, 2
-#: Bits of a hash in a fingerprint.
+#: Code points of a k-mer and of its inner substrings; one k-mer in twelve, about, is a syncmer.
+K, INNER = 32, 9
+PLACES = K - INNER + 1
+#: k-mers looked at in one go, which bounds the memory for a long text.
+BLOCK = 4096
+#: Bits of a hash in a fingerprint; the position stands above them.
 HASH_BITS = 32
-#: Neighbour search: documents in a bucket of ids, about, and buckets at most.
-BUCKET_ROWS, MAX_BUCKETS, FANOUT = 2_000, 4_096, 64
+#: Neighbour search: bytes of text in a bucket of ids, at most about, and buckets for each shuffle partition.
+BUCKET_BYTES, BUCKETS_PER_PARTITION = 256 << 20, 4
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -29,114 +39,168 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _window_hashes(text: Column, pick: Callable[[Column, Column, Column], Column]) -> Column:
-    """``pick(position, is_syncmer, hash)`` of every window; a shorter text is one window, an empty one has none."""
+def _code_points(text: Column) -> Column:
+    """Four bytes for each code point, so that a place is found without counting."""
+    return F.encode(text, "UTF-32")
 
-    def of_units(h: Column) -> Column:
-        n = F.size(h)
-        pairs = F.zip_with(F.slice(h, F.lit(1), n - 1), F.slice(h, F.lit(2), n - 1), lambda x, y: F.xxhash64(x, y))
 
-        def of_pairs(a: Column) -> Column:
-            starts = F.slice(a, F.lit(1), F.size(a) - 2)
-            return F.transform(starts, lambda x, i: _edge(pick, x, F.get(a, i + 1), F.get(a, i + 2), i))
+def _part(points: Column, start: Column, n: Column) -> Column:
+    return F.substring(points, 4 * start + 1, 4 * n)
 
-        whole = F.array(pick(F.lit(0), F.lit(True), F.aggregate(h, F.lit(0).cast("long"), lambda s, x: F.xxhash64(s, x))))
-        return F.when(n >= WINDOW, _let(pairs, of_pairs)).when(n > 0, whole)
 
-    units = F.transform(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda u: F.xxhash64(u))
-    return _let(units, of_units)
+def _anchor(pos: Column, points: Column) -> Column:
+    return F.shiftleft(pos.cast("long"), HASH_BITS).bitwiseOR(F.xxhash64(points).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
 
-def _edge(pick: Callable, first: Column, inner: Column, last: Column, i: Column) -> Column:
-    return pick(i, F.least(first, last) <= inner, F.xxhash64(first, last))
+def _ahead(x: Column, step: int) -> Column:
+    """Minimum of each item and the one ``step`` places on; beyond the end there is none."""
+    return _let(x, lambda y: F.zip_with(y, F.slice(y, F.lit(step + 1), F.size(y)), lambda a, b: F.least(a, b)))
 
 
-def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, anchors array<struct<pos, hash>>): the syncmers of every row by unit position, for positional matching.
+def _block_anchors(points: Column, offset: Column) -> Column:
+    """Anchors of a stretch of at least ``K`` code points that starts at ``offset`` of its text."""
+    n = (F.octet_length(points) / 4).cast("int")
+    hashes = F.transform(F.sequence(F.lit(0), n - INNER), lambda i: F.xxhash64(_part(points, i, F.lit(INNER))))
 
-    Null texts count as empty and have no anchor.
-    """
-    found = _window_hashes(text_or_empty(text_col), lambda i, chosen, h: F.when(chosen, F.struct(i.alias("pos"), h.alias("hash"))))
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.filter(found, lambda x: x.isNotNull()), F.array().cast("array<struct<pos:int,hash:bigint>>")).alias("anchors"))
+    def of_hashes(h: Column) -> Column:
+        # Eight places at a time; three such runs make up the places of a k-mer.
+        eight = _ahead(_ahead(_ahead(h, 1), 2), 4)
+        return _let(eight, lambda m: F.filter(F.sequence(F.lit(0), n - K), lambda i: F.least(F.get(h, i), F.get(h, i + PLACES - 1)) <= F.least(*[F.get(m, i + at) for at in range(0, PLACES, 8)])))
+
+    return F.transform(_let(hashes, of_hashes), lambda i: _anchor(offset + i, _part(points, i, F.lit(K))))
+
+
+def _kmer_anchors(points: Column) -> Column:
+    """Anchors of code points, block by block; fewer than ``K`` have none."""
+    kmers = (F.octet_length(points) / 4).cast("int") - K + 1
+    starts = F.sequence(F.lit(0), kmers - 1, F.lit(BLOCK))
+    found = F.flatten(F.transform(starts, lambda at: _let(_part(points, at, F.lit(BLOCK + K - 1)), lambda p: _block_anchors(p, at))))
+    return F.when(kmers > 0, found).otherwise(F.array().cast("array<bigint>"))
+
+
+def _all_anchors(points: Column) -> Column:
+    short = F.when(F.octet_length(points) > 0, F.array(_anchor(F.lit(0), points))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.octet_length(points) < 4 * K, short).otherwise(_kmer_anchors(points))
 
 
 def all_anchors(text: Column) -> Column:
-    """The syncmers (pos, hash) of a whole text in order, the hashes cut to ``HASH_BITS``."""
-    mask = F.lit((1 << HASH_BITS) - 1)
-    found = _window_hashes(text, lambda i, chosen, h: F.when(chosen, F.struct(i.cast("int").alias("pos"), h.bitwiseAND(mask).alias("hash"))))
-    return F.coalesce(F.filter(found, lambda x: x.isNotNull()), F.array().cast("array<struct<pos:int,hash:bigint>>"))
+    """The syncmers of a whole text in order, each as position << 32 | hash.
+
+    A text shorter than a k-mer is one anchor, an empty one has none.
+    """
+    return _let(_code_points(text), _all_anchors)
+
+
+def _pos(anchor: Column) -> Column:
+    return F.shiftrightunsigned(anchor, HASH_BITS)
+
+
+def joined_anchors(a: Column, a_anchors: Column, a_len: Column, b: Column, b_anchors: Column, b_len: Column) -> Column:
+    """Anchors of the first ``a_len`` code points of ``a`` followed by the first ``b_len`` of ``b``, from the anchors of both."""
+    inside = lambda anchors, n: F.filter(anchors, lambda x: _pos(x) + K <= n)
+    shift = lambda anchors, n: F.transform(anchors, lambda x: x + F.shiftleft(n.cast("long"), HASH_BITS))
+
+    def of_lengths(n: Column) -> Column:
+        left = F.least(n["a"], F.lit(K - 1))
+        seam = F.concat(F.substring(a, n["a"] - left + 1, left), F.substring(b, F.lit(1), F.least(n["b"], F.lit(K - 1))))
+        across = shift(_let(_code_points(seam), _kmer_anchors), n["a"] - left)
+        whole = F.concat(F.substring(a, F.lit(1), n["a"]), F.substring(b, F.lit(1), n["b"]))
+        return F.when(n["a"] + n["b"] < K, all_anchors(whole)).otherwise(F.concat(inside(a_anchors, n["a"]), across, shift(inside(b_anchors, n["b"]), n["a"])))
+
+    # Counted once: inside a function of anchors the lengths would be counted for each of them.
+    return _let(F.struct(a_len.alias("a"), b_len.alias("b")), of_lengths)
+
+
+def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, anchors array<struct<pos, hash>>): the syncmers of every row by code point, for positional matching.
+
+    Null texts count as empty and have no anchor.
+    """
+    found = F.transform(all_anchors(text_or_empty(text_col)), lambda x: F.struct(_pos(x).cast("int").alias("pos"), x.bitwiseAND(F.lit((1 << HASH_BITS) - 1)).alias("hash")))
+    return docs.select(F.col(f"`{id_col}`").alias("id"), found.alias("anchors"))
 
 
 def as_text(anchors: Column) -> Column:
     """Anchors as a string, sixteen hex digits each: position, then hash."""
-    digits = lambda x: F.lower(F.lpad(F.hex(x), HASH_BITS // 4, "0"))
-    return F.array_join(F.transform(anchors, lambda x: F.concat(digits(x["pos"]), digits(x["hash"]))), "")
+    return F.lower(F.array_join(F.transform(anchors, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Dice coefficient of the hashes of two texts' complete anchors, exact on them; two empty ones are alike."""
-    hashes = lambda x: F.array_distinct(F.transform(x, lambda y: y["hash"]))
+    hashes = lambda x: F.array_distinct(F.transform(x, lambda y: y.bitwiseAND(F.lit((1 << HASH_BITS) - 1))))
     dice = _let(F.struct(hashes(a).alias("x"), hashes(b).alias("y")), lambda s: 2 * F.size(F.array_intersect(s["x"], s["y"])) / F.nullif(F.size(s["x"]) + F.size(s["y"]), F.lit(0)))
     return F.coalesce(dice, F.lit(1.0))
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """(id, digest, carried...) with ``next_`` columns from the following row by descending id; after the last comes the first.
+def _bounds(docs: DataFrame) -> tuple[list[dict], str]:
+    """The largest (id, digest) of each bucket but the first, descending, and their type; narrow rows only are sorted for it.
 
-    Null ids come last, rows of equal id by digest.  Rows are dealt to buckets
-    of neighbouring ids, of about equal size; the first row of a bucket also
-    goes to the end of the bucket before it, so one shuffle is enough.
+    Their number follows the session's shuffle partitions and the size of the
+    texts, and is what the driver holds.
     """
-    n, = docs.agg(F.count(F.lit(1))).first()
-    buckets = max(1, min(MAX_BUCKETS, -(-n // BUCKET_ROWS)))
-    cuts = [(i + 1) / buckets for i in range(buckets - 1)]
-    bounds = docs.agg(F.percentile_approx("id", cuts, 20_000)).first()[0] if cuts else None
-    bounds = sorted(set(bounds or []))
-    bucket = _bucket(F.col("id"), bounds)
-    heads = docs.select("id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("id").alias("head"))
-    up = Window.orderBy("bucket")
-    heads = heads.withColumn("before", F.coalesce(F.lead("bucket").over(up), F.min("bucket").over(Window.partitionBy())))
-    # One row per bucket, at most MAX_BUCKETS.
-    dealt = docs.withColumn("bucket", bucket).join(F.broadcast(heads), "bucket")
-    own, again = F.struct("bucket", F.lit(False).alias("copy")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("copy"))
-    dealt = dealt.withColumn("to", F.explode(F.when(F.col("id").eqNullSafe(F.col("head")), F.array(own, again)).otherwise(F.array(own))))
-    order = Window.partitionBy("to.bucket").orderBy("to.copy", F.col("id").desc_nulls_last(), F.col("digest").desc())
-    following = [F.lead(c).over(order).alias(f"next_{c}") for c in carried]
-    return dealt.select("id", "digest", *carried, F.col("to.copy").alias("copy"), *following).filter("not copy").drop("copy")
-
-
-def _bucket(x: Column, bounds: list) -> Column:
-    """How many bounds are not above ``x``; two short searches instead of one long one."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(BUCKETS_PER_PARTITION * parts, -(-size // BUCKET_BYTES))
+    keys = docs.select(F.struct("id", "digest").alias("k"))
+    ranged = keys.repartitionByRange(buckets, F.col("k").desc()).groupBy(F.spark_partition_id().alias("part")).agg(F.max("k").alias("k"))
+    found = ranged.select("k").distinct().orderBy(F.col("k").desc()).select(F.to_json("k").alias("k"))
+    return [json.loads(r["k"]) for r in found.collect()][1:], keys.schema["k"].dataType.simpleString()
+
+
+def _bucket(key: Column, bounds: list[dict], kind: str) -> Column:
+    """How many bounds ``key`` does not lie above: rows of descending keys; a short search among parts, then one within the part."""
     if not bounds:
         return F.lit(0)
-    below = lambda items: F.size(F.filter(items, lambda b: b <= x))
-    if len(bounds) <= FANOUT:
-        found = below(F.array(*map(F.lit, bounds)))
-    else:
-        coarse = F.array(*map(F.lit, bounds[FANOUT - 1 :: FANOUT]))
-        fine = F.array(*[F.array(*map(F.lit, bounds[i : i + FANOUT])) for i in range(0, len(bounds), FANOUT)])
-        found = _let(below(coarse), lambda c: FANOUT * c + F.coalesce(below(F.get(fine, c)), F.lit(0)))
-    return F.when(x.isNull(), 0).otherwise(found)
+    width = max(1, int(len(bounds) ** 0.5))
+    nested = F.from_json(F.lit(json.dumps([bounds[i : i + width] for i in range(0, len(bounds), width)])), f"array<array<{kind}>>")
+    before = lambda items: F.size(F.filter(items, lambda b: key <= b))
+    coarse = F.size(F.filter(nested, lambda part: key <= F.get(part, F.lit(0))))
+    return F.when(coarse == 0, 0).otherwise(_let(coarse, lambda c: width * (c - 1) + before(F.get(nested, c - 1))))
+
+
+def with_next(docs: DataFrame, carried: dict[str, Column]) -> DataFrame:
+    """(id, digest, text, carried...) with ``next_`` columns from the following row by descending id; after the last comes the first.
+
+    Null ids come last, rows of equal id by digest.  Rows are dealt to buckets
+    of neighbouring (id, digest); the first row of a bucket also goes to the
+    end of the bucket before it, so the texts move once, and ``carried`` is
+    computed after they have moved.
+    """
+    bounds, kind = _bounds(docs)
+    key = F.struct("id", "digest")
+    placed = docs.withColumn("bucket", _bucket(key, bounds, kind))
+    heads = placed.groupBy("bucket").agg(F.max(F.struct("id", "digest")).alias("head"))
+    # One row per bucket: as many as there are bounds.
+    up = Window.orderBy("bucket")
+    heads = heads.withColumn("before", F.coalesce(F.lag("bucket").over(up), F.max("bucket").over(Window.partitionBy())))
+    placed = placed.join(F.broadcast(heads), "bucket")
+    again = F.when(key.eqNullSafe(F.col("head")), F.array(F.struct(F.lit(False).alias("copy"), F.col("bucket").alias("to")), F.struct(F.lit(True).alias("copy"), F.col("before").alias("to"))))
+    placed = placed.withColumn("d", F.explode(F.coalesce(again, F.array(F.struct(F.lit(False).alias("copy"), F.col("bucket").alias("to"))))))
+    placed = placed.select("id", "digest", "text", F.col("d.to").alias("to"), F.col("d.copy").alias("copy")).repartition("to").withColumns(carried)
+    order = Window.partitionBy("to").orderBy("copy", F.col("id").desc_nulls_last(), F.col("digest").desc())
+    following = [F.lead(c).over(order).alias(f"next_{c}") for c in ("text", *carried)]
+    return placed.select("id", "digest", "text", *carried, "copy", *following).filter("not copy").drop("copy")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint of every text and of its edited text, whose second half comes from the next row's beginning.
 
     (id, n_chars, edited, fingerprint, edited_fingerprint, near_edited,
-    near_next).  Null texts count as empty; an empty text stays as it is and
-    has the empty fingerprint.  An only row is its own next row; an empty table
-    gives no rows.
+    near_next).  Ids may be of any type that orders.  Null texts count as
+    empty; an empty text stays as it is and has the empty fingerprint.  An only
+    row is its own next row; an empty table gives no rows.
     """
     text = text_or_empty(text_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).withColumn("digest", row_digest(F.col("text")))
-    pairs = with_next(rows, ["text"])
-    half = F.floor(F.char_length("text") / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    pairs = pairs.withColumn("edited", edited)
-    pairs = pairs.withColumns({"fp": all_anchors(F.col("text")), "edited_fp": all_anchors(F.col("edited")), "next_fp": all_anchors(F.col("next_text"))})
+    pairs = with_next(rows, {"fp": all_anchors(F.col("text"))})
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    taken = F.least(half, F.char_length("next_text"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), taken))
+    pairs = pairs.withColumns({"edited": edited, "edited_fp": joined_anchors(F.col("text"), F.col("fp"), n - half, F.col("next_text"), F.col("next_fp"), taken)})
     return pairs.select(
         "id",
-        F.char_length("text").cast("long").alias("n_chars"),
+        n.cast("long").alias("n_chars"),
         "edited",
         as_text(F.col("fp")).alias("fingerprint"),
         as_text(F.col("edited_fp")).alias("edited_fingerprint"),
