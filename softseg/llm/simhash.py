@@ -1,13 +1,16 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A 64-bit fingerprint is cut into eight segments of eight bits.  Up to two
-differing bits touch at most two segments, so two fingerprints within that
-distance agree on the other six: 28 tables, one for each pair of segments left
-out, keyed by the remaining 48 bits, meet every such pair.  A bucket holds at
-most 65,536 different fingerprints whatever the corpus.  Inside a bucket the
-Hamming ball around each 16-bit rest is enumerated, the members in it are
-fetched, and the complete distance is verified.  A bucket gives a spanning
-forest of its links, never all pairs.
+A 64-bit fingerprint is cut into two segments of 32 bits.  Of two fingerprints
+within ``RADIUS`` = 2 bits, one segment differs in at most 2 // 2 = 1 bit.  So
+every fingerprint stands in two tables under its segments, enumerates the
+Hamming ball of radius 1 around each segment (33 values), fetches what the
+table holds there, and the complete distance is verified.
+
+A segment value that very many fingerprints share is indexed once more by the
+other segment, cut into two parts of 16 bits: again one part differs in at
+most one bit.  Then 48 bits are fixed, and what meets is looked up by the last
+16.  A group gives pairs that join the members of
+each of its components to one of them, never all pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import row_digest, text_or_empty
@@ -27,17 +30,22 @@ from .components import connected_components
 from .rows import keep_rows
 from .store import materialise
 
-SEGMENTS, SEGMENT_BITS, RADIUS = 8, 8, 2
+SEGMENTS, SEGMENT_BITS, RADIUS = 2, 32, 2
+#: Parts of the other segment by which a hot segment value is indexed.
+PARTS, PART_BITS = 2, 16
 SHINGLE_WORDS, SEED = 3, 42
-#: Left-out pairs of segments, one table each.
-TABLES = tuple(combinations(range(SEGMENTS), 2))
+#: Fingerprints under one segment value, at most, that are compared without a second index; hot values that are broadcast.
+HOT_ROWS, BROADCAST_HOT = 1_024, 100_000
 #: Bytes of a text that are cut into words in one go, and hashes counted in one go.
 PIECE, BLOCK = 1 << 20, 1 << 16
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 #: A byte's bits, each in a lane of 16 bits: two words of four lanes.
 _LANES = np.array([[sum(((b >> (4 * half + k)) & 1) << (16 * k) for k in range(4)) for half in range(2)] for b in range(256)], dtype=np.uint64)
+#: Differences of up to ``RADIUS`` bits among the last 16.
 _BALL = np.array([0, *(1 << i for i in range(16)), *((1 << i) | (1 << j) for i, j in combinations(range(16), 2))], dtype=np.int64)
+#: Distances that are computed in one go.
+CELLS = 1 << 22
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -92,26 +100,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, digest binary, fp long")
 
 
-def bucket_forest(fps: np.ndarray, shift_a: int, shift_b: int, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links that join the members of one bucket which reach each other by steps of up to ``radius`` bits."""
-    values = fps.view(np.uint64) if fps.dtype == np.int64 else fps
-    rest = (((values >> np.uint64(shift_a)) & np.uint64(255)) | (((values >> np.uint64(shift_b)) & np.uint64(255)) << np.uint64(8))).astype(np.int64)
-    n = len(fps)
-    if n == 2:
-        return [(int(fps[0]), int(fps[1]))] if int(values[0] ^ values[1]).bit_count() <= radius else []
-    table = np.full(1 << 16, -1, np.int64)
-    table[rest] = np.arange(n)
-    links = []
-    for mask in _BALL[1:]:
-        found = table[rest ^ mask]
-        here = np.flatnonzero(found > np.arange(n))
-        here = here[np.bitwise_count(values[here] ^ values[found[here]]) <= radius]
-        if len(here):
-            links.append(np.stack([here, found[here]]))
-    if not links:
-        return []
-    a, b = np.concatenate(links, axis=1)
-    root = np.arange(n)
+def _forest(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Links (a, b) by place in ``fps`` -> pairs, one fewer than members, that join the same members."""
+    root = np.arange(len(fps))
     while True:
         low = np.minimum(root[a], root[b])
         new = root.copy()
@@ -123,36 +114,95 @@ def bucket_forest(fps: np.ndarray, shift_a: int, shift_b: int, radius: int = RAD
         if np.array_equal(new, root):
             break
         root = new
-    moved = np.flatnonzero(root != np.arange(n))
+    moved = np.flatnonzero(root != np.arange(len(fps)))
     return list(zip(fps[moved].tolist(), fps[root[moved]].tolist()))
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def ball_links(fps: np.ndarray, held: np.ndarray) -> list[tuple[int, int]]:
+    """Links between the fingerprints that the table holds under a value and all that enumerated the value."""
+    values, table = fps.view(np.uint64), np.flatnonzero(held)
+    if len(table) == 0 or len(fps) < 2:
+        return []
+    found = []
+    step = max(1, CELLS // len(fps))
+    for at in range(0, len(table), step):
+        some = table[at : at + step]
+        t, q = np.nonzero(np.bitwise_count(values[some][:, None] ^ values[None, :]) <= RADIUS)
+        t = some[t]
+        found.append(np.stack([t[t != q], q[t != q]]))
+    a, b = np.concatenate(found, axis=1)
+    return _forest(fps, a, b) if len(a) else []
+
+
+def part_links(fps: np.ndarray, held: np.ndarray, shift: int) -> list[tuple[int, int]]:
+    """As ``ball_links`` where 48 bits of what the table holds are fixed: fetched by the 16 bits from ``shift`` on."""
+    values, table = fps.view(np.uint64), np.flatnonzero(held)
+    rest = ((values >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.int64)
+    place = np.full(1 << 16, -1, np.int64)
+    place[rest[table]] = table
+    found = []
+    for mask in _BALL:
+        q = np.flatnonzero(place[rest ^ mask] >= 0)
+        t = place[rest[q] ^ mask]
+        near = (t != q) & (np.bitwise_count(values[t] ^ values[q]) <= RADIUS)
+        if near.any():
+            found.append(np.stack([t[near], q[near]]))
+    a, b = np.concatenate(found, axis=1) if found else ((), ())
+    return _forest(fps, a, b) if len(a) else []
+
+
+def _bits(fp: Column, segment: Column | int, width: int) -> Column:
+    return F.shiftrightunsigned(fp, segment * width).bitwiseAND(F.lit((1 << width) - 1)) if isinstance(segment, int) else F.when(segment == 0, _bits(fp, 0, width)).otherwise(_bits(fp, 1, width))
+
+
+def _ball(value: Column, width: int) -> Column:
+    """The values that differ from ``value`` in at most one bit."""
+    return F.array(value, *[value.bitwiseXOR(F.lit(1 << i)) for i in range(width)])
+
+
+def links(nodes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(fp) without repeats -> (a, b): links whose components are those of all pairs within two bits."""
-    shifts = [(SEGMENT_BITS * i, SEGMENT_BITS * j) for i, j in TABLES]
-    keys = [F.struct(F.lit(k).cast("byte").alias("t"), F.col("fp").bitwiseAND(_signed(~((255 << i) | (255 << j)))).alias("key")) for k, (i, j) in enumerate(shifts)]
-    buckets = (
-        nodes.select("fp", F.explode(F.array(*keys)).alias("k"))
-        .groupBy("k.t", "k.key")
-        .agg(F.collect_list("fp").alias("fps"))
-        .filter(F.size("fps") > 1)
-        .select("t", "fps")
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    nodes = nodes.repartition("fp")
+    segments = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), _bits(F.col("fp"), s, SEGMENT_BITS).alias("own")) for s in range(SEGMENTS)])).alias("k")
+    own = nodes.select("fp", segments).select("fp", "k.s", "k.own")
+    probes = own.withColumn("value", F.explode(_ball(F.col("own"), SEGMENT_BITS)))
+    hot = materialise(own.groupBy("s", F.col("own").alias("value")).count().filter(F.col("count") > hot_rows).select("s", "value"), "simhash-hot")
+    n_hot = hot.count()
+    side = F.broadcast(hot) if n_hot <= BROADCAST_HOT else hot
+    cold = probes.join(side, ["s", "value"], "left_anti") if n_hot else probes
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t, fps in zip(batch.column(0).to_pylist(), batch.column(1)):
-                out += bucket_forest(fps.values.to_numpy(zero_copy_only=False), *shifts[t])
+            for s, value, fps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                fps = fps.values.to_numpy(zero_copy_only=False)
+                own = (fps.view(np.uint64) >> np.uint64(SEGMENT_BITS * s)) & np.uint64((1 << SEGMENT_BITS) - 1)
+                out += ball_links(fps, own == np.uint64(value))
             a, b = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return buckets.mapInArrow(run, "a long, b long")
-
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for s, value, p, part, fps in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
+                fps = fps.values.to_numpy(zero_copy_only=False)
+                other = (fps.view(np.uint64) >> np.uint64(SEGMENT_BITS * (1 - s))) & np.uint64((1 << SEGMENT_BITS) - 1)
+                own = (fps.view(np.uint64) >> np.uint64(SEGMENT_BITS * s)) & np.uint64((1 << SEGMENT_BITS) - 1)
+                held = (own == np.uint64(value)) & ((other >> np.uint64(PART_BITS * p)) & np.uint64(0xFFFF) == np.uint64(part))
+                out += part_links(fps, held, SEGMENT_BITS * (1 - s) + PART_BITS * (1 - p))
+            a, b = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-def _signed(x: int) -> int:
-    x &= (1 << 64) - 1
-    return x - (1 << 64) if x >> 63 else x
+    # A value under which the table holds nothing, or nothing but the one that asks, is not looked up.
+    meet = cold.groupBy("s", "value").agg(F.collect_list("fp").alias("fps"), F.max((F.col("own") == F.col("value")).cast("int")).alias("held"))
+    found = meet.filter("held = 1 and size(fps) > 1").select("s", "value", "fps").mapInArrow(near, "a long, b long")
+    if not n_hot:
+        return found
+    other = _bits(F.col("fp"), 1 - F.col("s"), SEGMENT_BITS)
+    parts = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), _ball(_bits(other, p, PART_BITS), PART_BITS).alias("ball")) for p in range(PARTS)])).alias("k")
+    split = probes.join(side, ["s", "value"]).select("fp", "s", "value", parts).select("fp", "s", "value", "k.p", F.explode("k.ball").alias("part"))
+    again = split.groupBy("s", "value", "p", "part").agg(F.collect_list("fp").alias("fps")).filter("size(fps) > 1")
+    return found.union(again.select("s", "value", "p", "part", "fps").mapInArrow(parted, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -79,28 +79,32 @@ def test_simhash_pieces(monkeypatch):
     assert simhash.fingerprint(text) == whole
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_bucket_forest(seed):
-    rng = np.random.default_rng(seed)
-    base = rng.integers(0, 1 << 63, dtype=np.uint64) & ~np.uint64(255 << 8 | 255 << 40)
-    rest = np.unique(rng.integers(0, 1 << 16, 400).astype(np.uint64))
-    fps = base | ((rest & np.uint64(255)) << np.uint64(8)) | ((rest >> np.uint64(8)) << np.uint64(40))
-    joined = simhash.bucket_forest(fps.view(np.int64), 8, 40)
-    want = components({int(v): int(v) for v in fps})
-    groups = defaultdict(set)
-    for v, r in want.items():
-        groups[r].add(v)
-    root = {int(v): int(v) for v in fps}
+@pytest.mark.parametrize("hot_rows", [simhash.HOT_ROWS, 3])
+def test_links_join_all_pairs_within_two_bits(spark, hot_rows):
+    """Random fingerprints, chains of one and two bits around some of them, and many that share a half."""
+    rng = np.random.default_rng(hot_rows)
+    fps = set(rng.integers(0, 1 << 64, 150, np.uint64).tolist())
+    for v in sorted(fps)[:20]:
+        for _ in range(10):
+            v ^= sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, 4)), replace=False))
+            fps.add(v)
+    for shift in (0, 32):
+        fps |= {(0x1234ABCD << (32 - shift)) | (int(x) << shift) for x in rng.integers(0, 1 << 9, 120)}
+    signed = [(v - (1 << 64) if v >> 63 else v,) for v in sorted(fps)]
+    found = simhash.links(spark.createDataFrame(signed, "fp long"), hot_rows).collect()
+    assert all(r["a"] != r["b"] for r in found)
+    root = {v: v for v in fps}
+
     def find(v):
         while root[v] != v:
             v = root[v]
         return v
-    for a, b in joined:
-        root[find(a % (1 << 64))] = find(b % (1 << 64))
-    got = defaultdict(set)
-    for v in root:
-        got[find(v)].add(v)
-    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
+
+    for r in found:
+        a, b = sorted((find(r["a"] % (1 << 64)), find(r["b"] % (1 << 64))))
+        root[b] = a
+    got = {v: find(v) for v in fps}
+    assert got == components({v: v for v in fps})
 
 
 def test_simhash_odd_rows(odd, none):
