@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import row_digest, text_or_empty, word_count
-from .rows import packed, unpacked
+from .rows import packed, row_key, unpacked
 from .store import materialise
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
@@ -220,11 +220,10 @@ def mix(
 def take_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken, all columns."""
     copies = mix(docs, id_col, source_col, text_col)
-    repeats = copies.groupBy(F.col("id").alias("_id"), F.col("digest").alias("_d")).agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    keyed = packed(docs, id=F.col(f"`{id_col}`"), digest=row_digest(text_or_empty(text_col)))
-    joined = keyed.join(repeats, keyed["id"].eqNullSafe(repeats["_id"]) & (keyed["digest"] == repeats["_d"]))
-    # Rows that repeat id and text share the copies that were taken of them.
-    nth = F.row_number().over(Window.partitionBy("id", "digest").orderBy("digest"))
+    repeats = copies.groupBy(row_key(F.col("id"), F.col("digest")).alias("key")).agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    keyed = packed(docs, key=row_key(F.col(f"`{id_col}`"), row_digest(text_or_empty(text_col))))
+    # Rows that repeat id and text share the copies that were taken of them; join and numbering find them in place.
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
     own = F.floor(F.col("_sum") / F.col("_n")) + F.when(F.col("_nth") <= F.col("_sum") % F.col("_n"), 1).otherwise(0)
-    taken = joined.withColumn("_nth", nth).withColumn("_own", own.cast("int")).filter("_own > 0")
+    taken = keyed.join(repeats.filter("_sum > 0"), "key").withColumn("_nth", nth).withColumn("_own", own.cast("int")).filter("_own > 0")
     return unpacked(taken.select("row", F.explode(F.sequence(F.lit(1), F.col("_own")))))

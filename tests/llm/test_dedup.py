@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from softseg.llm import exact_dedup, queries, simhash, suffix_dedup
 from softseg.llm.columns import lower_ascii
@@ -39,6 +40,19 @@ def test_exact_odd_rows(odd, none):
     assert {r["_digest"] for r in kept.collect()} == {"own _digest"}
 
 
+def test_rows_alone_with_length_and_prefix_are_not_hashed(spark, documents, texts):
+    groups = defaultdict(list)
+    for i, t in texts.items():
+        groups[low(t)].append(i)
+    want = sorted(max(own) for own in groups.values())
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_duplicates(documents).collect()) == want
+    norm = F.lower(F.coalesce("text", F.lit("")))
+    keys = Counter((len(t.encode()), low(t)[:128]) for t in map(lambda t: t or "", texts.values()))
+    several = sum(n for n in keys.values() if n > 1)
+    maybe = exact_dedup._survivors(documents, F.xxhash64(F.octet_length(norm), F.substring(norm, 1, 128))).filter("maybe").count()
+    assert several <= maybe < several + 0.1 * len(texts)
+
+
 def brute_fingerprint(t):
     w = (t or "").encode().lower().split()
     sh = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [b" ".join(w)] if w else []

@@ -3,7 +3,8 @@ from collections import Counter
 import corpus_pipeline
 from softseg.llm import exact_dedup, mixing, packing, quality, simhash
 
-from .test_dedup import brute_fingerprint, components, low
+from .test_dedup import low
+from .test_similar import brute_components
 
 
 def stages(spark, docs, sf):
@@ -23,8 +24,8 @@ def test_stages_on_documents(spark, sf, documents):
         k = low(r["text"])
         best[k] = max(best.get(k, -1), r["doc_id"])
     assert sorted(r["doc_id"] for r in once.collect()) == sorted(best.values())
-    fps = {r["doc_id"]: brute_fingerprint(r["text"]) for r in once.collect()}
-    assert sorted(r["doc_id"] for r in apart.collect()) == sorted(set(components(fps).values()))
+    near = brute_components({r["doc_id"]: r["text"] for r in once.collect()})
+    assert sorted(r["doc_id"] for r in apart.collect()) == sorted(set(near.values()))
     want = {r["id"]: r["copies"] for r in mixing.mix(apart).collect()}
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({i: n for i, n in want.items() if n})
     assert Counter(r["doc_id"] for r in packed.filter("start = 0").collect()) == Counter(r["doc_id"] for r in mixed.collect())
