@@ -32,7 +32,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", F.size("passages").cast("long").alias("n_passages"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

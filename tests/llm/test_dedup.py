@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -171,16 +172,50 @@ def test_planted_repeats(spark):
 def test_long_texts_in_pieces(spark, monkeypatch):
     rng = np.random.default_rng(5)
     body = bytes(rng.integers(97, 123, 9_000, dtype=np.uint8))
-    whole = sorted((int(p), int(lo), int(hi)) for _, place, least, most, h in suffix_dedup.text_anchors([body]) for p, lo, hi in zip(place, least, most))
+    body = body[:4_000] + b" ".join(body[i : i + 5] for i in range(4_000, 9_000, 5))
+
+    def strings():
+        found = [x for _, *fields in suffix_dedup.text_anchors([body]) for x in zip(*(f.tolist() for f in fields))]
+        words = lambda p, b, a: [(s + p - b, e + p - b) for s, e in zip(*suffix_dedup.word_windows(np.frombuffer(body[p - b : p + a], np.uint8), np.array([a + b]))) if s <= b and e >= b + suffix_dedup.CORE]
+        return sorted((p, s) for p, lo, hi, *_ in found for s in range(p - hi, p - lo + 1)), sorted((p, *w) for p, _, _, b, a, _ in found if b + a for w in words(p, b, a))
+
+    whole, whole_words = strings()
     suffix_dedup._powers.cache_clear()
     monkeypatch.setattr(suffix_dedup, "PIECE", 2_500)
-    parts = [(int(p), int(lo), int(hi)) for _, place, least, most, h in suffix_dedup.text_anchors([body]) for p, lo, hi in zip(place, least, most)]
-    starts = lambda marks: sorted((p, s) for p, lo, hi in marks for s in range(p - hi, p - lo + 1))
-    assert starts(parts) == starts(whole) and len(starts(whole)) == len(body) - suffix_dedup.LENGTH + 1
+    parts, parts_words = strings()
+    assert parts == whole and len(whole) == len(body) - suffix_dedup.LENGTH + 1
+    assert parts_words == whole_words and len(whole_words) == 1_000 - suffix_dedup.WORDS
     monkeypatch.undo()
     suffix_dedup._powers.cache_clear()
 
 
+def brute_passages(raws, words=suffix_dedup.WORDS):
+    """Ids -> maximal runs covered by repeated strings of LENGTH bytes or of so many words."""
+    cut = {}
+    for i, r in raws.items():
+        at = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", r)]
+        cut[i] = [(at[k][0], at[k + words - 1][1]) for k in range(len(at) - words + 1)]
+        cut[i] = [(a, b) for a, b in cut[i] if suffix_dedup.CORE <= b - a < suffix_dedup.LENGTH] + [(a, a + suffix_dedup.LENGTH) for a in range(len(r) - suffix_dedup.LENGTH + 1)]
+    n = Counter(raws[i][a:b] for i, own in cut.items() for a, b in own)
+    return {i: suffix_dedup._merged([(a, b) for a, b in own if n[raws[i][a:b]] > 1]) for i, own in cut.items()}
+
+
+@pytest.mark.parametrize("hot_rows", [suffix_dedup.HOT_ROWS, 2])
+def test_passages_of_over_fifty_words(spark, documents, texts, monkeypatch, hot_rows):
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", hot_rows)
+    rng = np.random.default_rng(11)
+    noise = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(n))
+    passages = [noise(n) for n in (50, 51, 60, 70, 120)] + [" ".join("ab"[i % 2] for i in range(90))]
+    rows = {i: f"{noise(int(rng.integers(0, 60)))} {passages[i % 6]}\n{noise(int(rng.integers(0, 60)))}" for i in range(40)}
+    rows |= {50: noise(55), 51: passages[3], 52: passages[3], 53: f"x{passages[2]}x"}
+    raws = {i: t.encode() for i, t in rows.items()} | ({1000 + i: (t or "").encode() for i, t in texts.items()} if hot_rows > 2 else {})
+    frame = spark.createDataFrame([(i, t.decode()) for i, t in raws.items()], "doc_id long, text string").repartition(5)
+    want = brute_passages(raws)
+    for r in suffix_dedup.repeated_spans(frame).collect():
+        assert [[s["start"], s["stop"]] for s in r["passages"]] == want[r["id"]]
+    assert want[1] and want[51] and not want[0] and not want[50]
+
+
 def test_hot_cores_are_split(spark, monkeypatch):
     rng = np.random.default_rng(6)
     noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
