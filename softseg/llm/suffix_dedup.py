@@ -438,8 +438,12 @@ def _covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out.append(frame(key[hit], (place - high)[hit], (place - low)[hit] + LENGTH, False))
             row, depth, rest = _windows(around, left, before, after)
             hit = ordered.repeated_windows(row, depth, rest) & own[row]
-            row = row[hit]
-            out.append(frame(key[row], place[row] - depth[hit], place[row] + rest[hit], True))
+            # All passages of an anchor contain it, so together they are one run.
+            far = np.zeros((2, len(rows)), np.int64)
+            np.maximum.at(far[0], row[hit], depth[hit])
+            np.maximum.at(far[1], row[hit], rest[hit])
+            hit = far[1] > 0
+            out.append(frame(key[hit], (place - far[0])[hit], (place + far[1])[hit], True))
         return pd.concat(out, ignore_index=True)
 
     held: list[pd.DataFrame] = []
