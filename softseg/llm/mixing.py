@@ -27,6 +27,8 @@ WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 BLOCK_ROWS = 2_000
 #: Lightest units of a source, whose landing looks at all their subsets.
 LAST = 12
+#: Pairs of units, at most, that landing changes for each other to come nearer to the token total.
+SWAPS = 4
 #: Sources up to this many are broadcast; beyond it the join is shuffled.
 BROADCAST_SOURCES = 10_000
 SEED = 20
@@ -46,39 +48,78 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
 def settle(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Flight and landing, from heavy to light units.
 
-    The heavier half flies and lands first.  What its landing adds to the token
-    total or takes from it is spread over the probabilities of the lighter
-    half, whose turn is next; it is zero on average, so on average they stay.
-    The lightest units land on the subset that comes nearest to the total.
+    The heavier half flies and lands first.  What its landing adds to the
+    document and token totals or takes from them is taken back by the
+    probabilities of the lighter half, whose turn is next; it is zero on
+    average, so on average they stay.  The lightest units land on the subset
+    that comes nearest to both totals, and a few swaps make up for what is left.
     """
     p, size = p.astype(float).copy(), size.astype(float)
     order = np.argsort(-size, kind="stable")
-    order = order[(p[order] > 0) & (p[order] < 1)]
-    owed = 0.0
+    order = every = order[(p[order] > 0) & (p[order] < 1)]
+    aim = p[every] @ size[every]
+    totals = lambda units: np.array([p[units].sum(), p[units] @ size[units]])
+    owed = np.zeros(2)
     while len(order) > LAST:
         n = (len(order) + 1) // 2
         now, order = order[:n], order[n:]
-        goal = p[now] @ size[now]
+        goal = totals(now)
         p[now] = landing(flight(p[now], size[now], rng), size[now], rng)
-        owed += goal - p[now] @ size[now]
-        for _ in range(8):
-            free = order[(p[order] < 1) if owed > 0 else (p[order] > 0)]
-            weight = size[free].sum()
-            if abs(owed) < 1e-9 or weight <= 0:
-                break
-            was = p[free]
-            p[free] = np.clip(was + owed / weight, 0, 1)
-            owed -= (p[free] - was) @ size[free]
+        owed += goal - totals(now)
+        p[order], owed = _absorb(p[order], size[order], owed)
         order = order[(p[order] > 0) & (p[order] < 1)]
     if len(order):
-        p[order] = nearest_subset(size[order], p[order] @ size[order] + owed, rng)
+        p[order] = nearest_subset(size[order], totals(order) + owed, rng)
+    for _ in range(SWAPS):
+        if not _swap(p, size, every, aim - p[every] @ size[every]):
+            break
     return p
 
 
-def nearest_subset(size: np.ndarray, goal: float, rng: np.random.Generator) -> np.ndarray:
-    """The landing problem of a few units: of all subsets, one whose total is nearest to ``goal``."""
+def _swap(p: np.ndarray, size: np.ndarray, units: np.ndarray, owed: float) -> bool:
+    """Change a taken unit for one that isn't, of those pairs that whose sizes differ most nearly by the tokens owed; the number of documents stays."""
+    taken, left = units[p[units] == 1], units[p[units] == 0]
+    if abs(owed) < 1 or not len(taken) or not len(left):
+        return False
+    left = left[np.argsort(size[left], kind="stable")]
+    at = np.searchsorted(size[left], size[taken] + owed)
+    near = np.stack([np.clip(at - 1, 0, len(left) - 1), np.clip(at, 0, len(left) - 1)])
+    error = np.abs(size[taken] + owed - size[left[near]])
+    side, which = np.unravel_index(error.argmin(), error.shape)
+    if error[side, which] >= abs(owed):
+        return False
+    p[taken[which]], p[left[near[side, which]]] = 0, 1
+    return True
+
+
+def _absorb(p: np.ndarray, size: np.ndarray, owed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities whose document and token totals are higher by ``owed``, and what they can't take.
+
+    The change is the smallest that is linear in size.  Where both totals can't
+    be had, because what is owed is heavier than so few documents, tokens come
+    first.
+    """
+    for both in (True, False):
+        q, rest = p.copy(), owed
+        for _ in range(12):
+            free = np.flatnonzero((q > 0) & (q < 1))
+            if not len(free) or abs(rest[1]) < 1e-9 and (not both or abs(rest[0]) < 1e-9):
+                break
+            rows = np.stack([np.ones(len(free)), size[free]])
+            change = np.linalg.lstsq(rows, rest, rcond=1e-12)[0] if both else np.full(len(free), rest[1] / max(rows[1].sum(), 1e-9))
+            now = np.clip(q[free] + change, 0, 1)
+            rest = rest - rows @ (now - q[free])
+            q[free] = now
+        if abs(rest[1]) < 1:
+            break
+    q[np.abs(q) < 1e-9], q[np.abs(q - 1) < 1e-9] = 0, 1
+    return q, rest
+
+
+def nearest_subset(size: np.ndarray, goal: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The landing problem of a few units: of all subsets, one whose tokens are nearest to ``goal``, a document counting as a tenth of a mean one."""
     picks = (np.arange(1 << len(size))[:, None] >> np.arange(len(size))) & 1
-    error = np.abs(picks @ size - goal)
+    error = np.abs(picks @ size - goal[1]) + 0.1 * size.mean() * np.abs(picks.sum(axis=1) - goal[0])
     return picks[rng.choice(np.flatnonzero(error <= error.min() + 1e-6))].astype(float)
 
 

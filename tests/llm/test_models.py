@@ -46,6 +46,18 @@ def test_mix_in_blocks(spark):
         assert abs(r["t"] - r["g"]) < 0.02 * r["g"] and r["m"] <= 1
 
 
+def test_mix_keeps_document_and_token_totals(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.union(docs.withColumns({"source": F.lit("large"), "doc_id": F.col("doc_id") + 10_000}))
+    for block_rows in (mixing.BLOCK_ROWS, 40):
+        per = mixing.mix(docs, block_rows=block_rows).groupBy("source").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("size"))
+        for r in per.collect():
+            expected = r["n"] * r["target"] / r["size"]
+            # One document may weigh as much as a dozen others; tokens come first.
+            assert abs(r["copies"] - expected) < (15 if r["n"] < 100 else 5)
+            assert abs(r["taken"] - r["target"]) <= max(0.002 * r["target"], 2)
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(2)
     p, size = rng.random(500), rng.integers(0, 900, 500).astype(float)
