@@ -13,6 +13,9 @@ from .store import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Bytes of a chunk of a record, which long pages exceed.
+WARC_CHUNK = 1 << 14
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,7 +45,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
-    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    warc.write_archives(_table(spark, sf_dir, "pages"), path, chunk=WARC_CHUNK)
     return warc.read_archives(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 

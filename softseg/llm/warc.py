@@ -1,10 +1,11 @@
 """WARC records as a chunked record table.
 
 Archives are a table of (record, chunk, chunks, data): the data of a record's
-chunks, in order, are its WARC bytes.  A record that fits one chunk is one
-row; an oversized payload is streamed as many, so neither side ever holds a
-whole large record in Python.  Readers carry an incremental SHA-1 from chunk
-to chunk and compare it with the digest in the record's header.
+chunks, in order, are its WARC bytes.  A payload that fits one chunk is one
+row; an oversized one is cut into many as it is read, and from then on only
+chunks are moved, sorted, written and read.  Writers and readers carry an
+incremental SHA-1 from chunk to chunk, and readers compare it with the digest
+in the record's header.
 
 Payloads that repeat an earlier one are written as ``revisit`` records, which
 name the record they refer to and carry no payload.
@@ -14,14 +15,17 @@ from __future__ import annotations
 
 import hashlib
 from base64 import b32encode
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
+#: Bytes of chunks that a task hands over at once, about, and tasks, at most, over which the rows of one payload are spread.
+BATCH, SALTS = 8 << 20, 64
 #: Smallest payload that may be written as a revisit.
 MIN_REVISIT = 0
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -49,15 +53,18 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("none")).alias("k"),
         F.regexp_replace(F.col(f"`{url_col}`").cast("string"), r"[\x00-\x20\x7f]", "%20").alias("url"),
         payload.alias("payload"),
-        F.octet_length(payload).cast("long").alias("size"),
-        F.unhex(F.sha1(payload)).alias("digest"),
     )
-    keys = rows.select("id", "k", "digest", "size")
-    firsts = keys.groupBy("digest", "size").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    again = keys.filter(F.col("size") >= min_revisit).join(firsts, "digest").select("k", "digest", "first", F.lit(True).alias("_same")).distinct()
-    # The payloads move once: the join and the numbering of rows that repeat both id and payload find them in place.
+    kind = rows.schema["id"].dataType.simpleString()
+    keys = rows.select("id", "k", "payload").mapInArrow(_digests(chunk), f"id {kind}, k string, size long, digest binary")
+    # A payload goes to the salts at which its rows stand, so those of a very common one are looked up in many tasks.
+    keys = keys.filter(F.col("size") >= min_revisit).withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)))
+    firsts = keys.groupBy("digest", "size").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.collect_set("salt").alias("salts")).filter("n > 1")
+    firsts = firsts.select("digest", "size", "first", F.explode("salts").alias("salt"))
+    again = keys.join(firsts, ["digest", "size", "salt"]).select("k", "digest", "first", F.lit(True).alias("_same")).distinct()
+    # What moves are chunks, each once: the join and the numbering of rows that repeat both id and payload find them in place.
+    rows = rows.mapInArrow(_chunks(chunk), f"id {kind}, k string, url string, size long, digest binary, row long, chunk int, chunks int, data binary")
     rows = rows.repartition("k", "digest").join(again, ["k", "digest"], "left")
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("k", "digest").orderBy("digest")))
+    rows = rows.withColumn("nth", F.dense_rank().over(Window.partitionBy("k", "digest").orderBy("row")))
     revisit = F.col("_same").isNotNull() & ~(F.col("id").eqNullSafe(F.col("first")) & (F.col("nth") == 1))
     name = lambda c, nth: F.concat(F.lit(f"<{RECORD_URN}:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(":"), F.base64("digest"), F.lit(":"), nth.cast("string"), F.lit(">"))
     block = F.length(F.lit(HTTP_HEAD)) + F.when(revisit, 0).otherwise(F.col("size"))
@@ -75,14 +82,62 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         line("Content-Length", block.cast("string")),
         F.lit("\r\n" + HTTP_HEAD),
     ).cast("binary")
-    tail = F.lit(b"\r\n\r\n")
-    rows = rows.select(name("id", F.col("nth")).alias("record"), head.alias("head"), F.when(~revisit, F.col("payload")).alias("body"))
-    n = F.greatest(F.lit(1), F.ceil(F.octet_length("body") / chunk)).cast("int")
-    rows = rows.withColumn("chunks", F.coalesce(n, F.lit(1)))
-    piece = lambda i: F.concat(F.when(i == 0, F.col("head")).otherwise(F.lit(b"")), F.substring(F.col("body"), i * chunk + 1, F.lit(chunk)), F.when(i == F.col("chunks") - 1, tail).otherwise(F.lit(b"")))
-    pieces = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.struct(i.alias("chunk"), piece(i).alias("data")))
-    whole = F.array(F.struct(F.lit(0).alias("chunk"), F.concat("head", F.coalesce("body", F.lit(b"")), tail).alias("data")))
-    rows.select("record", "chunks", F.explode(F.when(F.col("chunks") > 1, pieces).otherwise(whole)).alias("c")).select("record", "c.chunk", "chunks", "c.data").write.parquet(path)
+    rows = rows.filter(~revisit | (F.col("chunk") == 0)).withColumn("chunks", F.when(revisit, 1).otherwise(F.col("chunks")))
+    body = F.when(revisit, F.lit(b"")).otherwise(F.col("data"))
+    first, last = F.when(F.col("chunk") == 0, head).otherwise(F.lit(b"")), F.when(F.col("chunk") == F.col("chunks") - 1, F.lit(b"\r\n\r\n")).otherwise(F.lit(b""))
+    rows.select(name("id", F.col("nth")).alias("record"), "chunk", "chunks", F.concat(first, body, last).alias("data")).write.parquet(path)
+
+
+def _payload_digest(payload: memoryview, chunk: int) -> bytes:
+    """SHA-1, carried from chunk to chunk."""
+    digest = hashlib.sha1()
+    for at in range(0, len(payload), chunk):
+        digest.update(payload[at : at + chunk])
+    return digest.digest()
+
+
+def _digests(chunk: int) -> Callable:
+    """(id, k, payload) -> (id, k, size, digest)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            views = [memoryview(x.as_buffer()) for x in batch.column(2)]
+            columns = [batch.column(0), batch.column(1), pa.array([len(v) for v in views], pa.int64()), pa.array([_payload_digest(v, chunk) for v in views], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "k", "size", "digest"])
+
+    return run
+
+
+def _chunks(chunk: int) -> Callable:
+    """(id, k, url, payload) -> a row for each chunk, in batches of about ``BATCH`` bytes; an empty payload is one empty chunk."""
+    names = ["id", "k", "url", "size", "digest", "row", "chunk", "chunks", "data"]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            of, rows, held = [], [], 0
+
+            def out() -> pa.RecordBatch:
+                some = batch.select([0, 1, 2]).take(pa.array(of, pa.int64()))
+                return pa.RecordBatch.from_arrays([*some.columns, *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=names)
+
+            for i, value in enumerate(batch.column(3)):
+                payload = memoryview(value.as_buffer())
+                digest, chunks = _payload_digest(payload, chunk), max(1, -(-len(payload) // chunk))
+                for n in range(chunks):
+                    data = bytes(payload[n * chunk : (n + 1) * chunk])
+                    of.append(i)
+                    rows.append((len(payload), digest, row, n, chunks, data))
+                    held += len(data)
+                    if held >= BATCH:
+                        yield out()
+                        of, rows, held = [], [], 0
+                row += 1
+            if rows:
+                yield out()
+
+    return run
 
 
 @dataclass
@@ -105,7 +160,7 @@ class Record:
                 lines = top.decode("utf-8", "surrogateescape").split("\r\n")
                 if not lines[0].startswith("WARC/"):
                     raise ValueError("not a WARC record")
-                self.headers = dict(x.split(": ", 1) for x in lines[1:])
+                self.headers = {name.strip(): value.strip() for name, _, value in (x.partition(":") for x in lines[1:])}
                 self.left_in_block = int(self.headers["Content-Length"])
                 self.head = b""
                 self.feed(rest)
@@ -120,12 +175,14 @@ class Record:
     def result(self) -> dict:
         if self.left:
             raise ValueError(f"record {self.headers.get('WARC-Record-ID')} is cut short")
-        said = self.headers["WARC-Payload-Digest"].removeprefix("sha1:")
-        size, kind = int(self.headers["X-Payload-Length"]), self.headers["WARC-Type"]
-        if kind == "response" and (size != self.size or b32encode(self.digest.digest()).decode() != said):
-            raise ValueError(f"record {self.headers['WARC-Record-ID']} doesn't match its digest")
+        kind, found = self.headers.get("WARC-Type"), b32encode(self.digest.digest()).decode()
+        said = self.headers.get("WARC-Payload-Digest", f"sha1:{found}")
+        said = said.removeprefix("sha1:")
+        size = int(self.headers.get("X-Payload-Length", self.size))
+        if kind == "response" and (size != self.size or found != said):
+            raise ValueError(f"record {self.headers.get('WARC-Record-ID')} doesn't match its digest")
         return {
-            "id": _id_in(self.headers["WARC-Record-ID"]),
+            "id": _id_in(self.headers.get("WARC-Record-ID", "")),
             "url": self.headers.get("WARC-Target-URI"),
             "record_type": kind,
             "payload_bytes": size,
@@ -135,8 +192,9 @@ class Record:
 
 
 def _id_in(urn: str) -> int | None:
+    """The page of a record of our own; other records have none."""
     value = urn.removeprefix(f"<{RECORD_URN}:").partition(":")[0]
-    return int(value) if value else None
+    return int(value) if value.lstrip("-").isdigit() else None
 
 
 SCHEMA = pa.schema([("id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
@@ -146,7 +204,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(id, url, record_type, payload_bytes, payload_digest, refers_to) of every record at ``path``.
 
     Raises if a response's payload doesn't match its digest or a record is cut
-    short.  Ids are whole numbers; a null one is read back as null.
+    short.  Ids are whole numbers; a null one is read back as null, as is that
+    of a record that was not written here; headers that such a record lacks are
+    filled in from what was read.
     """
     table = spark.read.parquet(path)
 
