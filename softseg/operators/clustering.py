@@ -131,11 +131,11 @@ def fcm(rows: DataFrame, k: int, m: float = 2.0, max_iter: int = 300, tol: float
     return Clusters("fcm", v, history[-1] if history else float("inf"), len(history), len(history) > 1 and abs(history[-2] - history[-1]) < tol, seed, m, {"history": history})
 
 
-def pfcm(rows: DataFrame, k: int, m: float = 2.0, eta: float = 2.0, a: float = 1.0, b: float = 1.0, scale: float = 1.0, max_iter: int = 300, tol: float = 1e-5, seed: int = 1) -> Clusters:
-    """Possibilistic fuzzy c-means from a fuzzy one; ``extras['gamma']`` are the typicality widths."""
+def pfcm(rows: DataFrame, k: int, m: float = 2.0, eta: float = 2.0, a: float = 1.0, b: float = 1.0, scale: float = 1.0, max_iter: int = 300, tol: float = 1e-5, seed: int = 1, centers: np.ndarray | None = None) -> Clusters:
+    """Possibilistic fuzzy c-means from a fuzzy one, or from given centres; ``extras['gamma']`` are the typicality widths."""
     _check(k, m)
-    start = fcm(rows, k, m, max(50, max_iter // 4), tol, seed)
-    v, d = start.centers, start.centers.shape[1]
+    v = np.asarray(centers, float) if centers is not None else fcm(rows, k, m, max(50, max_iter // 4), tol, seed).centers
+    d = v.shape[1]
 
     def widths(x: np.ndarray) -> np.ndarray:
         d2 = squared_distances(x, v)
@@ -167,10 +167,10 @@ def typicality_frame(model: Clusters, rows: DataFrame) -> DataFrame:
     return with_rows(rows, lambda x: typicalities(squared_distances(x, v), gamma, eta, b), "t")
 
 
-def gustafson_kessel(rows: DataFrame, k: int, m: float = 2.0, max_iter: int = 300, tol: float = 1e-5, seed: int = 1, ridge: float = 1e-3) -> Clusters:
-    """Fuzzy clustering with a norm of its own, of volume one, for every cluster."""
+def gustafson_kessel(rows: DataFrame, k: int, m: float = 2.0, max_iter: int = 300, tol: float = 1e-5, seed: int = 1, ridge: float = 1e-3, centers: np.ndarray | None = None) -> Clusters:
+    """Fuzzy clustering with a norm of its own, of volume one, for every cluster; from fuzzy c-means or given centres."""
     _check(k, m)
-    v = fcm(rows, k, m, 5, tol, seed).centers
+    v = np.asarray(centers, float) if centers is not None else fcm(rows, k, m, max(50, max_iter // 4), tol, seed).centers
     d = v.shape[1]
     norms, last, done, step = np.stack([np.eye(d)] * k), float("inf"), False, 0
     for step in range(1, max_iter + 1):

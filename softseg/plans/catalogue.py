@@ -37,7 +37,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import catalogue_clusters  # noqa: F401  registers its queries
+    from . import catalogue_clusters, catalogue_models  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 

@@ -98,7 +98,9 @@ def silhouette(spark, d):
     return rounded(rows.groupBy("label").agg(F.avg("s").alias("s"), F.count(F.lit(1)).alias("n")))
 
 
-@query()
+@query(f"""with {S.MEMBERS}, pd as (select i, arg_min(j, (d2, j)) as p from dis group by 1), {_PAIRS.replace("select vec_id as i, label,", "select vec_id as i, p as label,").replace("from embeddings)", "from embeddings join pd on vec_id = pd.i)")},
+w as (select i, list_sort(list(u), 'DESC') as u from mem group by 1)
+select count(*) as n, {rnd('sum((u[1] - u[2]) * s) / sum(u[1] - u[2])', 'fuzzy_silhouette')} from sv join w using (i)""")
 def fuzzy_silhouette(spark, d):
     frame, _ = _assigned(spark, d)
     value = validity.fuzzy_silhouette(frame.drop("label").withColumnRenamed("pred", "label"))
@@ -175,7 +177,7 @@ def engagement_surface(spark, d):
     return rounded(grid.select("grid_x", "grid_y", F.array_max("u").alias("strength"), surface.alias("surface")), 4)
 
 
-_K3 = "v as (select i, d, v from vec where d <= 4), c0 as (select i as j, d, v as c from v where i < 3)"
+_K3 = "v as (select i, d, v from vec), c0 as (select i as j, d, v as c from v where i < 3)"
 
 
 def _steps(update: str, n: int) -> str:
@@ -191,8 +193,9 @@ l{n} as (select i, arg_min(j, (d2, j)) as j from d{n} group by 1),
 c{n} as (select j, d, avg(v) as c from l{n} join v using (i) group by 1, 2)"""
 
 
-def _four(spark: SparkSession, d: str) -> tuple[DataFrame, np.ndarray]:
-    rows = _vectors(spark, d).select("id", F.slice("x", 1, 4).alias("x"))
+def _from_first(spark: SparkSession, d: str) -> tuple[DataFrame, np.ndarray]:
+    """The vectors, and those of the first three ids as centres."""
+    rows = _vectors(spark, d).select("id", "x")
     first = rows.filter("id < 3").orderBy("id").collect()
     return rows, np.array([r["x"] for r in first], float)
 
@@ -205,15 +208,15 @@ def _center_frame(rows: DataFrame, centers: np.ndarray) -> DataFrame:
 
 @query(f"with {S.VECTORS}, {_K3}, {_steps(_FCM_STEP, 3)} select cast(j as integer) as cluster, cast(d as integer) as d, {rnd('c', 'c', 4)} from c3")
 def fcm_fixed_iter(spark, d):
-    """Three fuzzy c-means steps from the first three vectors, on four dimensions."""
-    rows, first = _four(spark, d)
+    """Three fuzzy c-means steps from the first three vectors."""
+    rows, first = _from_first(spark, d)
     model = clustering.fcm(rows, 3, max_iter=3, tol=0.0, centers=first)
     return rounded(_center_frame(rows, model.centers), 4)
 
 
 @query(f"with {S.VECTORS}, {_K3}, {_steps(_KMEANS_STEP, 3)} select cast(j as integer) as cluster, cast(d as integer) as d, {rnd('c', 'c', 4)} from c3")
 def kmeans_fixed_iter(spark, d):
-    rows, first = _four(spark, d)
+    rows, first = _from_first(spark, d)
     return rounded(_center_frame(rows, clustering.lloyd(rows, first, 3, -1.0).centers), 4)
 
 
