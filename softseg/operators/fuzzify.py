@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from softseg.functions.membership import Complement, Membership, alpha_cut, check_alpha, hour_window, membership, partition
 from softseg.functions.scalars import share
 
 from .compliance import MIN_GROUP
+from .ranks import with_cume_dist
 from .indicators import HOURS
 from .quantiles import exact_quantiles
 
@@ -109,9 +110,6 @@ def bounds(frame: DataFrame, columns: Mapping[str, str]) -> dict[str, tuple[floa
 def normalised(x: Column, how: str, limits: tuple[float, float] | None = None) -> Column:
     if how == "none":
         return clean(x)
-    if how == "quantile":
-        # Nulls would count as the smallest values.
-        return F.when(clean(x).isNotNull(), F.cume_dist().over(Window.orderBy(clean(x).asc_nulls_last())))
     lo, hi = limits
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (_scaled(x, how) - F.lit(lo)) / F.lit(hi - lo)))
 
@@ -166,7 +164,11 @@ class Fuzzifier:
                 inputs.append(profile_degree(self.windows, f.window, pattern).alias(f"_{i}"))
                 degrees = {"working": F.col(f"_{i}"), "non_working": F.lit(1.0) - F.col(f"_{i}")}
             else:
-                x = normalised(F.col(f.indicator), f.normalisation, self.limits.get(f.indicator))
+                if f.normalisation == "quantile":
+                    frame = with_cume_dist(frame, clean(F.col(f.indicator)), f"_share_{f.indicator}")
+                    x = F.col(f"_share_{f.indicator}")
+                else:
+                    x = normalised(F.col(f.indicator), f.normalisation, self.limits.get(f.indicator))
                 if max(m.support()[1] for m in f.terms.values()) == 1.0:
                     x = F.least(x, F.lit(1.0))  # a share above 1 by rounding is on the shoulder, not beyond it
                 inputs.append(x.alias(f"_{i}"))

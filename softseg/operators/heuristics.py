@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from softseg.functions import scalars
 from softseg.sources.schema import CaseTables
+from softseg.sources.store import materialise
 
 
 def hierarchy(users: DataFrame, title_col: str = "job_title", category_col: str | None = None, user_id_col: str = "user_id") -> DataFrame:
@@ -19,13 +22,17 @@ def hierarchy(users: DataFrame, title_col: str = "job_title", category_col: str
 
 def engaging_posts(posts: DataFrame, stream_col: str = "stream_id") -> DataFrame:
     """``posts`` with ``engaging`` 0/1: more comments than its stream's rounded mean, and a video or more likes than the mean."""
-    stream = Window.partitionBy(stream_col)
-    above = lambda c: F.col(c) > F.bround(F.avg(c).over(stream), 0)
+    means = posts.groupBy(F.col(stream_col).alias("_stream")).agg(*[F.bround(F.avg(c), 0).alias(f"_mean_{c}") for c in ("comment_count", "like_count")])
+    above = lambda c: F.col(c) > F.col(f"_mean_{c}")
     video = F.col("has_video") > 0 if "has_video" in posts.columns else F.lit(False)
     flag = F.col(stream_col).isNotNull() & above("comment_count") & (video | above("like_count"))
-    return posts.withColumn("engaging", F.coalesce(flag, F.lit(False)).cast("int"))
+    # Means are combined in each task and there is one row for each stream, so however many posts a stream has, they stay where they are.
+    found = posts.join(means, posts[stream_col] == means["_stream"], "left")
+    return found.withColumn("engaging", F.coalesce(flag, F.lit(False)).cast("int")).drop("_stream", "_mean_comment_count", "_mean_like_count")
 
 
+#: Query posts that meet all posts at once, and cosines that a task computes at once.
+QUERY_BLOCK, CELLS = 1 << 14, 1 << 22
 SIMILARITY_COLUMNS = ("comment_count", "like_count", "comment_like_count", "mention_count", "has_video", "engaging")
 
 
@@ -36,15 +43,38 @@ def _unit(posts: DataFrame, columns: Sequence[str]) -> DataFrame:
     return posts.select("post_id", F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0))).alias("v"))
 
 
-def post_similarity(queries: DataFrame, posts: DataFrame, columns: Sequence[str] = SIMILARITY_COLUMNS) -> DataFrame:
-    """(post_id, other_id, similarity): cosine of every stated query post with every post.
+def post_similarity(queries: DataFrame, posts: DataFrame, least: float = 0.99, columns: Sequence[str] = SIMILARITY_COLUMNS, block: int = QUERY_BLOCK) -> DataFrame:
+    """(post_id, best, n_close) of every query post: its largest cosine with another post, and the posts whose cosine is at least ``least``.
 
-    The queries are a stated small set; they are broadcast in one block.
+    Queries meet all posts block by block; a block is what the tasks share, and
+    a task gives one row for each of its queries.
     """
-    q = _unit(queries, columns).select("post_id", F.col("v").alias("q"))
-    p = _unit(posts, columns).select(F.col("post_id").alias("other_id"), "v")
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return p.join(F.broadcast(q)).select("post_id", "other_id", dot.alias("similarity"))
+    spark = posts.sparkSession
+    asked = materialise(_unit(queries, columns).withColumn("nth", F.monotonically_increasing_id()), "similar-queries")
+    all_ = _unit(posts, columns)
+    starts = sorted(r["nth"] for r in asked.groupBy((F.col("nth") - F.col("nth") % block).alias("nth")).count().collect())
+    out = None
+    for start in starts:
+        held = asked.filter(F.col("nth").between(start, start + block - 1)).select("post_id", "v").toPandas()
+        shared = spark.sparkContext.broadcast((held["post_id"].to_numpy(), np.array(held["v"].tolist(), float)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            best, close = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
+            step = max(1, CELLS // max(1, len(ids)))
+            for batch in batches:
+                own = batch.column(0).to_numpy(zero_copy_only=False)
+                v = batch.column(1).values.to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
+                for at in range(0, len(own), step):
+                    cosine = np.where(ids[:, None] == own[None, at : at + step], -np.inf, q @ v[at : at + step].T)
+                    best = np.maximum(best, cosine.max(axis=1))
+                    close += (cosine >= least).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.where(np.isfinite(best), best, np.nan), from_pandas=True), pa.array(close)], names=["post_id", "best", "n_close"])
+
+        part = all_.mapInArrow(run, f"post_id {all_.schema['post_id'].dataType.simpleString()}, best double, n_close long")
+        part = part.groupBy("post_id").agg(F.max("best").alias("best"), F.sum("n_close").alias("n_close"))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else all_.limit(0).select("post_id", F.lit(0.0).alias("best"), F.lit(0).cast("bigint").alias("n_close"))
 
 
 def post_activity(posts: DataFrame, comments: DataFrame, reactions: DataFrame) -> DataFrame:

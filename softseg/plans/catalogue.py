@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from softseg.functions import membership as mf
 from softseg.functions import scalars
-from softseg.operators import compliance, counts, fuzzify, heuristics, indicators, profiles, rules, scale
+from softseg.operators import compliance, counts, fuzzify, heuristics, indicators, profiles, ranks, rules, scale
 from softseg.sources import driver_tables as src
+from softseg.sources.store import materialise
 from softseg.streaming import daily
 
 from . import sql as S
@@ -201,15 +202,13 @@ def engaging_posts(spark, d):
 @query(f"""with {S.POSTS}, {_ENGAGING},
 n as (select post_id, comment_count * 1e0 as a, like_count * 1e0 as b, has_video * 1e0 as c, engaging * 1e0 as e,
              sqrt(comment_count * comment_count * 1e0 + like_count * like_count + has_video + engaging) as l from en),
-q as (select * from n order by post_id limit 20),
+q as (select * from n where post_id % 100 = 0),
 s as (select q.post_id, n.post_id as other_id, coalesce((q.a * n.a + q.b * n.b + q.c * n.c + q.e * n.e) / nullif(q.l * n.l, 0), 0e0) as similarity from q, n where q.post_id <> n.post_id)
 select post_id, round(max(similarity), 6) as best, count(case when similarity >= 0.99e0 then 1 end) as n_close from s group by 1""")
 def post_similarity_topk(spark, d):
-    """The first 20 posts, as stated queries, against all posts: best similarity and number of close ones."""
+    """Every post whose id is divisible by 100, against all posts: best similarity and number of close ones."""
     posts = heuristics.engaging_posts(src.posts(spark, d))
-    pairs = heuristics.post_similarity(posts.orderBy("post_id").limit(20), posts).filter("post_id <> other_id")
-    close = F.count(F.when(F.col("similarity") >= 0.99, 1))
-    return rounded(pairs.groupBy("post_id").agg(F.max("similarity").alias("best"), close.alias("n_close")))
+    return rounded(heuristics.post_similarity(posts.filter("post_id % 100 = 0"), posts))
 
 
 @query("""with a as (select o_custkey as user_id, o_orderkey as post_id from orders union all select l_suppkey, l_orderkey from lineitem union all select user_id, event_id from events where event_type = 'click')
@@ -293,7 +292,9 @@ def linguistic_partition(spark, d):
 def _norm(how: str) -> Query:
     def run(spark, d):
         t = src.table(spark, d, "events").select("event_id", "value")
-        limits = fuzzify.bounds(t, {"value": how}).get("value") if how != "quantile" else None
+        if how == "quantile":
+            return rounded(ranks.with_cume_dist(t, F.col("value"), "x").select("event_id", "x"))
+        limits = fuzzify.bounds(t, {"value": how}).get("value")
         return rounded(t.select("event_id", fuzzify.normalised(F.col("value"), how, limits).alias("x")))
 
     return run
@@ -310,7 +311,8 @@ _SQL["norm_quantile"] = "select event_id, round(cume_dist() over (order by value
 
 
 def _fuzzy(spark: SparkSession, d: str, pattern: bool = True) -> tuple[fuzzify.Fuzzifier, DataFrame]:
-    frame = _with_people(spark, d)
+    # Fitting, rules and result read the indicators; the event log is aggregated once.
+    frame = materialise(_with_people(spark, d), "indicators")
     engine = fuzzify.Fuzzifier()
     return engine, engine.fit_transform(frame, pattern=F.col("shift_pattern") if pattern else None)
 
