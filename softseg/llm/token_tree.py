@@ -10,6 +10,7 @@ the sums above them; the rest of the text is not looked at again.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -120,7 +121,7 @@ def count_edits(docs: DataFrame, edits: Column, id_col: str = "doc_id", text_col
     names = ["n_chars", "n_tokens", "edited_chars", "edited_tokens", "reencoded_chars", "n_leaves"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(vocabulary).encode_ordinary
+        encode = partial(encoding(vocabulary).encode, allowed_special="all")
         for batch in batches:
             cols = [[] for _ in names]
             for text, todo in zip(batch.column(1), batch.column(2)):
