@@ -162,8 +162,9 @@ def _ball(value: Column, width: int) -> Column:
 
 def links(nodes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(fp) without repeats -> (a, b): links whose components are those of all pairs within two bits."""
-    # A number given is kept: one fingerprint becomes 66 rows, so few tasks of many fingerprints would be long ones.
-    nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # One fingerprint becomes 66 rows, so few tasks of many fingerprints would be long ones.  A number given is kept, and a
+    # key of its own keeps the shuffle from being taken for the one that found the fingerprints.
+    nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     segments = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), _bits(F.col("fp"), s, SEGMENT_BITS).alias("own")) for s in range(SEGMENTS)])).alias("k")
     own = nodes.select("fp", segments).select("fp", "k.s", "k.own")
     probes = own.withColumn("value", F.explode(_ball(F.col("own"), SEGMENT_BITS)))
