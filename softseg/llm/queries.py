@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, quality, simhash, suffix_dedup, syncmers, token_tree, warc
-from .columns import id_bucket
+from . import exact_dedup, langid, mixing, packing, periodic, quality, sanitise, simhash, suffix_dedup, syncmers, token_tree, variants, warc
+from .columns import WORD, id_bucket
 from .store import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,8 +79,53 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.find_personal(_table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        F.col("id").alias("doc_id"), *[number(kind) for kind in sanitise.KINDS], F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+        listed(F.concat("base", "terms")).alias("spans"), F.size("terms").cast("long").alias("n_terms"),
+    )
+
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """``documents`` in which one text in ten, by a hash of its id, repeats a stretch of its words from some word to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"))
+    g, n = F.floor(F.col("h") / 10), F.size("w")
+    placed = words.withColumns({"n": F.when(n > 0, n), "g": g}).withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    placed = placed.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    changed = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(again, F.lit(1), rest)), " ")
+    return placed.select("doc_id", F.when(F.col("n").isNull(), F.col("text")).otherwise(changed).alias("text"))
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(_with_periods(_table(spark, sf_dir, "documents")))
+    # Exact comparison of length / period: by cross products.
+    above = lambda s, t: s["length"] * t["period"] - t["length"] * s["period"]
+    later = lambda s, t: F.when(above(s, t) != 0, -above(s, t)).when(s["start"] != t["start"], s["start"] - t["start"]).otherwise(s["period"] - t["period"])
+    top = F.get(F.array_sort("runs", lambda s, t: F.signum(later(s, t)).cast("int")), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    rows = found.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), top.alias("top"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.expr("1000 * top.length div top.period").alias("exponent_milli")
+    return rows.select("doc_id", "n_runs", "top.start", "top.length", "top.period", milli, "runs_sha256", "collapsed_sha256")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ``documents``, of which a code point is deleted where 97 divides a hash of id and word; a null id deletes nothing."""
+    runs = variants.letter_runs(_table(spark, sf_dir, "documents")).filter(F.char_length("run") >= variants.SHORTEST)
+    h = F.crc32(F.concat(F.col("id").cast("string"), F.lit(":"), F.col("run")).cast("binary"))
+    at = (F.col("h") % F.char_length("run")).cast("int")
+    damaged = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))
+    words = runs.withColumn("h", h).select(F.when(F.col("h") % 97 == 0, damaged).otherwise(F.col("run")).alias("word"))
+    return variants.spelling_variants(variants.word_counts(words, "word")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_language, op3_repeats, op4_simhash, op5_warc, op6_token_edits, op7_exact_dedup, op8_syncmers, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_mixing, op2_language, op3_repeats, op4_simhash, op5_warc, op6_token_edits, op7_exact_dedup, op8_syncmers, op9_quality, op10_packing, op11_sanitise, op12_periods, op13_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
