@@ -221,7 +221,20 @@ def _near_counts(scanned: DataFrame, n_docs: int) -> DataFrame:
     near = rows.join(weighed, ["entity", "salt"]).select("row", "entity", "n_entity", F.explode(F.concat(_near_terms(F.col("before")), _near_terms(F.col("after")))).alias("t"))
     once = near.groupBy("entity", "t.term", "row").agg(F.min("t.beside").alias("beside"), F.first("n_entity").alias("n_entity"))
     found = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.count_distinct("beside").alias("n_beside"), F.max("n_entity").alias("n_entity"))
-    return materialise(found.filter((F.col("n_both") >= SUPPORT) & (F.col("n_beside") >= SUPPORT)).drop("n_beside").withColumn("hash", _hash(F.col("term"))), "sanitise-near")
+    found = found.filter((F.col("n_both") >= SUPPORT) & (F.col("n_beside") >= SUPPORT)).drop("n_beside").withColumn("hash", _hash(F.col("term")))
+    # A term stands in as many documents, at least, as have it near any mention: by that alone most common words disclose nothing.
+    hashes = F.transform(F.concat(_near_terms(F.col("before")), _near_terms(F.col("after"))), lambda t: _hash(t["term"]))
+    around = rows.select("row", F.explode(hashes).alias("hash")).distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_term"))
+    return materialise(found.join(around, "hash").filter(_discloses(n_docs)).drop("n_term"), "sanitise-near")
+
+
+def _bits(n_docs: int) -> Column:
+    """Pointwise mutual information of entity and term."""
+    return F.log2(F.col("n_both") * F.lit(float(n_docs)) / (F.col("n_entity") * F.col("n_term")))
+
+
+def _discloses(n_docs: int) -> Column:
+    return (_bits(n_docs) >= BITS) & (_bits(n_docs) >= F.log2(F.lit(float(n_docs)) / F.col("n_entity")) - GAP)
 
 
 _DISCLOSING = "term string, hash long, generalise boolean, bits double"
@@ -239,10 +252,7 @@ def disclosing_terms(docs: DataFrame, scanned: DataFrame, text_col: str = "text"
     near_hashes = bitmap_of(near.select("hash"), "hash")
     hashes = docs.select(F.explode(_term_hashes(text_or_empty(text_col))).alias("hash"))
     counts = near_hashes.passed(hashes, "hash").groupBy("hash").agg(F.count(F.lit(1)).alias("n_term"))
-    bits = F.log2(F.col("n_both") * F.lit(float(n_docs)) / (F.col("n_entity") * F.col("n_term")))
-    content = F.log2(F.lit(float(n_docs)) / F.col("n_entity"))
-    weighed = near.join(counts, "hash").select("entity", "term", "hash", bits.alias("bits"), content.alias("content"))
-    over = materialise(weighed.filter((F.col("bits") >= BITS) & (F.col("bits") >= F.col("content") - GAP)), "sanitise-over")
+    over = materialise(near.join(counts, "hash").filter(_discloses(n_docs)).select("entity", "term", "hash", _bits(n_docs).alias("bits")), "sanitise-over")
     is_class = F.endswith("term", F.lit("*"))
     classes = over.filter(is_class).select("entity", F.col("term").alias("class"), F.lit(True).alias("discloses"))
     terms = over.filter(~is_class).select("entity", "term", "hash", "bits", F.explode(F.transform(F.split("term", " "), _class_of)).alias("class"))
