@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import argmax_label, squared_distances, totals, width, with_rows
+from .vectors import argmax_label, largest_and_total, squared_distances, totals, with_rows
 
 NEAR = 1e-12
 
@@ -48,7 +48,16 @@ class Clusters:
         return memberships(d2, self.m) if self.fuzzy else np.eye(self.k)[d2.argmin(1)]
 
     def assign(self, rows: DataFrame) -> DataFrame:
-        """(..., u array<double>, label int)."""
+        """(..., u array<double>, label int).
+
+        Rows that an agglomeration has seen get the label of its tree, others that of the nearest centre.
+        """
+        if "leaves" in self.extras:
+            known = rows.join(self.extras["leaves"], "x", "left").select(*rows.columns, "leaf_label")
+            label = F.coalesce("leaf_label", argmax_label(F.col("u")))
+            v = self.centers
+            out = with_rows(known, lambda x: np.eye(len(v))[squared_distances(x, v).argmin(1)], "u").withColumn("label", label.cast("int")).drop("leaf_label")
+            return out.withColumn("u", F.transform(F.sequence(F.lit(0), F.lit(self.k - 1)), lambda j: F.when(j == F.col("label"), 1.0).otherwise(0.0)))
         return with_rows(rows, self.degrees, "u").withColumn("label", argmax_label(F.col("u")))
 
 
@@ -78,57 +87,20 @@ def _check(k: int, m: float) -> None:
         raise ValueError("fuzzy clustering needs k >= 2 and m > 1")
 
 
-def initial_centers(rows: DataFrame, k: int, seed: int) -> np.ndarray:
-    """Centres of random degrees with exponent 2; a row's degrees follow from its values and the seed alone."""
-    d = width(rows)
-    uniform = F.array(*[(F.pmod(F.xxhash64("x", F.lit(seed), F.lit(j)), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40)) for j in range(k)])
-    drawn = rows.select("x", *[F.get(uniform, F.lit(j)).alias(f"r{j}") for j in range(k)])
+def _starts(rows: DataFrame, k: int, seed: int, init: str, centers: np.ndarray | None) -> np.ndarray:
+    from . import many
 
-    def kernel(block: np.ndarray) -> np.ndarray:
-        x, r = block[:, :d], block[:, d:]
-        w = (r / r.sum(1, keepdims=True)) ** 2
-        return np.concatenate([w.sum(0), (w.T @ x).ravel()])
-
-    t = totals(drawn, kernel, k + k * d, [f"r{j}" for j in range(k)])
-    return t[k:].reshape(k, d) / np.maximum(t[:k], NEAR)[:, None]
-
-
-def plus_plus_centers(rows: DataFrame, k: int, seed: int) -> np.ndarray:
-    """k-means++: each centre drawn with chances as the squared distance to those before it.
-
-    The draw is the smallest of exponential variates with these rates, from a
-    hash of the row, so it is one aggregation and independent of partitions.
-    """
-    uniform = lambda j: (F.pmod(F.xxhash64("x", F.lit(seed), F.lit(j)), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))
-    centers = [np.array(rows.select("x").orderBy(uniform(0), "x").first()[0], float)]
-    for j in range(1, k):
-        held = np.array(centers)
-        near = with_rows(rows.select("x"), lambda x, v=held: squared_distances(x, v).min(1, keepdims=True), "u")
-        cost = F.when(F.col("u")[0] > 0, -F.log(uniform(j)) / F.col("u")[0])
-        row = near.agg(F.min_by("x", cost)).first()[0]
-        centers.append(np.array(row if row is not None else centers[0], float))
-    return np.array(centers)
+    if centers is not None:
+        return np.array(centers, float)
+    return (many.plus_plus_starts if init == "kmeans++" else many.random_starts)(rows, [(k, seed)])[0]
 
 
 def fcm(rows: DataFrame, k: int, m: float = 2.0, max_iter: int = 300, tol: float = 1e-5, seed: int = 1, init: str = "random", centers: np.ndarray | None = None) -> Clusters:
     """Fuzzy c-means; stops when the objective moves by less than ``tol``."""
-    _check(k, m)
-    v = np.array(centers, float) if centers is not None else (plus_plus_centers if init == "kmeans++" else initial_centers)(rows, k, seed)
-    d, history = v.shape[1], []
+    from . import many
 
-    for step in range(1, max_iter + 1):
-        def kernel(x: np.ndarray, v: np.ndarray = v) -> np.ndarray:
-            d2 = squared_distances(x, v)
-            w = memberships(d2, m) ** m
-            return np.concatenate([[(w * d2).sum()], w.sum(0), (w.T @ x).ravel()])
-
-        t = totals(rows, kernel, 1 + k + k * d)
-        history.append(t[0])
-        done = step > 1 and abs(history[-2] - history[-1]) < tol
-        if done:
-            break
-        v = t[1 + k :].reshape(k, d) / np.maximum(t[1 : 1 + k], NEAR)[:, None]
-    return Clusters("fcm", v, history[-1] if history else float("inf"), len(history), len(history) > 1 and abs(history[-2] - history[-1]) < tol, seed, m, {"history": history})
+    _check(k, m)
+    return many.fcm_runs(rows, [_starts(rows, k, seed, init, centers)], m, max_iter, tol, [seed])[0]
 
 
 def pfcm(rows: DataFrame, k: int, m: float = 2.0, eta: float = 2.0, a: float = 1.0, b: float = 1.0, scale: float = 1.0, max_iter: int = 300, tol: float = 1e-5, seed: int = 1, centers: np.ndarray | None = None) -> Clusters:
@@ -167,20 +139,43 @@ def typicality_frame(model: Clusters, rows: DataFrame) -> DataFrame:
     return with_rows(rows, lambda x: typicalities(squared_distances(x, v), gamma, eta, b), "t")
 
 
-def gustafson_kessel(rows: DataFrame, k: int, m: float = 2.0, max_iter: int = 300, tol: float = 1e-5, seed: int = 1, ridge: float = 1e-3, centers: np.ndarray | None = None) -> Clusters:
-    """Fuzzy clustering with a norm of its own, of volume one, for every cluster; from fuzzy c-means or given centres."""
+def fuzzy_covariances(rows: DataFrame, model: Clusters) -> np.ndarray:
+    """Covariance of each cluster around its centre, weighted by u^m, in one scan."""
+    v, m = model.centers, model.m
+    k, d = v.shape
+
+    def kernel(x: np.ndarray) -> np.ndarray:
+        w = model.degrees(x) ** m
+        return np.concatenate([w.sum(0), np.stack([((x - c).T * w[:, j]) @ (x - c) for j, c in enumerate(v)]).ravel()])
+
+    t = totals(rows, kernel, k + k * d * d)
+    return t[k:].reshape(k, d, d) / np.maximum(t[:k], NEAR)[:, None, None]
+
+
+#: Part of the mean variance that is added to the diagonal of a Gustafson-Kessel covariance (a fixed value).
+GK_RIDGE = 1e-4
+
+
+def gustafson_kessel(rows: DataFrame, k: int, m: float = 2.0, max_iter: int = 300, tol: float = 1e-5, seed: int = 1, ridge: float = GK_RIDGE, centers: np.ndarray | None = None) -> Clusters:
+    """Fuzzy clustering with a norm of its own, of volume one, for every cluster; from fuzzy c-means or given centres.
+
+    A step takes new centres and covariances from the degrees before it.  It
+    stops when no degree of any row changes by ``tol``, or the objective by
+    less; degrees are not stored, a pass computes those under old and new norms
+    side by side and keeps the largest change.
+    """
     _check(k, m)
     v = np.asarray(centers, float) if centers is not None else fcm(rows, k, m, max(50, max_iter // 4), tol, seed).centers
     d = v.shape[1]
     norms, last, done, step = np.stack([np.eye(d)] * k), float("inf"), False, 0
     for step in range(1, max_iter + 1):
         def central(x: np.ndarray, v: np.ndarray = v, norms: np.ndarray = norms) -> np.ndarray:
-            d2 = mahalanobis(x, v, norms)
-            w = memberships(d2, m) ** m
-            return np.concatenate([[(w * d2).sum()], w.sum(0), (w.T @ x).ravel()])
+            w = memberships(mahalanobis(x, v, norms), m) ** m
+            return np.concatenate([w.sum(0), (w.T @ x).ravel()])
 
-        t = totals(rows, central, 1 + k + k * d)
-        weight, new = np.maximum(t[1 : 1 + k], NEAR), t[1 + k :].reshape(k, d) / np.maximum(t[1 : 1 + k], NEAR)[:, None]
+        t = totals(rows, central, k + k * d)
+        weight = np.maximum(t[:k], NEAR)
+        new = t[k:].reshape(k, d) / weight[:, None]
 
         def spread(x: np.ndarray, v: np.ndarray = v, new: np.ndarray = new, norms: np.ndarray = norms) -> np.ndarray:
             w = memberships(mahalanobis(x, v, norms), m) ** m
@@ -188,10 +183,17 @@ def gustafson_kessel(rows: DataFrame, k: int, m: float = 2.0, max_iter: int = 30
 
         cov = totals(rows, spread, k * d * d).reshape(k, d, d) / weight[:, None, None]
         cov = cov + (ridge * np.trace(cov, axis1=1, axis2=2) / d)[:, None, None] * np.eye(d) + NEAR * np.eye(d)
-        norms = np.stack([max(np.linalg.det(c), NEAR) ** (1 / d) * np.linalg.pinv(c) for c in cov])
-        moved, v = np.abs(new - v).max(), new
-        done = moved < tol or abs(last - t[0]) < tol
-        last = t[0]
+        now = np.stack([max(np.linalg.det(c), NEAR) ** (1 / d) * np.linalg.pinv(c) for c in cov])
+
+        def compared(x: np.ndarray, v: np.ndarray = v, norms: np.ndarray = norms, new: np.ndarray = new, now: np.ndarray = now) -> np.ndarray:
+            d2 = mahalanobis(x, new, now)
+            u = memberships(d2, m)
+            return np.array([np.abs(u - memberships(mahalanobis(x, v, norms), m)).max(), (u**m * d2).sum()])
+
+        change, objective = largest_and_total(rows, compared)
+        v, norms = new, now
+        done = change < tol or abs(last - objective) < tol
+        last = objective
         if done:
             break
     return Clusters("gk", v, float(last), step, bool(done), seed, m, {"norms": norms, "covariances": cov})
@@ -199,100 +201,32 @@ def gustafson_kessel(rows: DataFrame, k: int, m: float = 2.0, max_iter: int = 30
 
 def lloyd(rows: DataFrame, centers: np.ndarray, max_iter: int = 300, tol: float = 1e-4, seed: int | None = None) -> Clusters:
     """k-means from given centres; an empty cluster keeps its centre."""
-    v = np.array(centers, float)
-    k, d = v.shape
-    cost, done, step = float("inf"), False, 0
-    for step in range(1, max_iter + 1):
-        def kernel(x: np.ndarray, v: np.ndarray = v) -> np.ndarray:
-            d2 = squared_distances(x, v)
-            w = np.eye(k)[d2.argmin(1)]
-            return np.concatenate([[d2.min(1).sum()], w.sum(0), (w.T @ x).ravel()])
+    from . import many
 
-        t = totals(rows, kernel, 1 + k + k * d)
-        cost, n = t[0], t[1 : 1 + k]
-        new = np.where(n[:, None] > 0, t[1 + k :].reshape(k, d) / np.maximum(n, 1)[:, None], v)
-        moved, v = ((new - v) ** 2).sum(), new
-        done = moved <= tol
-        if done:
-            break
-    return Clusters("kmeans", v, float(cost), step, bool(done), seed)
+    return many.lloyd_runs(rows, [centers], max_iter, tol, [seed])[0]
 
 
 def kmeans(rows: DataFrame, k: int, seed: int = 1, n_init: int = 10, max_iter: int = 300) -> Clusters:
-    """Spark ML's k-means from several starts, the one of least cost."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    data = rows.select(array_to_vector("x").alias("features"))
-    best = None
-    for i in range(n_init):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, initMode="k-means||").fit(data)
-        found = Clusters("kmeans", np.array(model.clusterCenters()), model.summary.trainingCost, model.summary.numIter, True, seed + i)
-        best = found if best is None or found.objective < best.objective else best
-    return best
-
-
-#: Points that an agglomeration starts from, at most; beyond that, k-means micro-clusters stand for the rows.
-WARD_POINTS = 512
-
-
-def ward_merges(centers: np.ndarray, weights: np.ndarray) -> list[tuple[int, int, float, float]]:
-    """(a, b, height, weight) of every merge; merge i makes cluster n + i.  Least growth of the within sum of squares first."""
-    n = len(centers)
-    at, w = {i: c for i, c in enumerate(centers.astype(float))}, dict(enumerate(weights.astype(float)))
-    keys = list(at)
-    cost = np.full((n, n), np.inf)
-    for i in range(n):
-        for j in range(i + 1, n):
-            cost[i, j] = w[i] * w[j] / (w[i] + w[j]) * ((at[i] - at[j]) ** 2).sum()
-    slots, merges = list(keys), []
-    while len(merges) < n - 1:
-        i, j = divmod(int(cost.argmin()), n)
-        a, b = slots[i], slots[j]
-        merges.append((a, b, float(np.sqrt(2 * cost[i, j])), w[a] + w[b]))
-        new = n + len(merges) - 1
-        at[new], w[new] = (w[a] * at[a] + w[b] * at[b]) / (w[a] + w[b]), w[a] + w[b]
-        slots[i] = new
-        cost[j, :] = cost[:, j] = np.inf
-        slots[j] = None
-        for o in range(n):
-            if o != i and slots[o] is not None:
-                c = w[new] * w[slots[o]] / (w[new] + w[slots[o]]) * ((at[new] - at[slots[o]]) ** 2).sum()
-                cost[min(i, o), max(i, o)] = c
-    return merges
-
-
-def cut_tree(n: int, merges: Sequence[tuple], k: int) -> np.ndarray:
-    """Labels of the n starting points when k clusters are left."""
-    root = list(range(n + len(merges)))
-    for i, (a, b, *_) in enumerate(merges[: max(n - k, 0)]):
-        root[a] = root[b] = n + i
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    tops = [top(i) for i in range(n)]
-    return np.array([sorted(set(tops)).index(t) for t in tops])
-
-
-def ward(rows: DataFrame, k: int, points: int = WARD_POINTS, seed: int = 1) -> Clusters:
-    """Ward's agglomeration of the rows, or of micro-clusters if there are more than ``points``."""
-    distinct = rows.groupBy("x").count().limit(points + 1).collect()
-    if len(distinct) <= points:
-        order = sorted(distinct, key=lambda r: tuple(r["x"]))
-        base, weight = np.array([r["x"] for r in order], float), np.array([r["count"] for r in order], float)
-    else:
-        micro = kmeans(rows, points, seed, 1, 50)
-        base, kk = micro.centers, len(micro.centers)
-        weight = totals(rows, lambda x: np.eye(kk)[squared_distances(x, base).argmin(1)].sum(0), kk)
-        base, weight = base[weight > 0], weight[weight > 0]
-    merges = ward_merges(base, weight)
-    labels = cut_tree(len(base), merges, min(k, len(base)))
-    centers = np.stack([np.average(base[labels == j], axis=0, weights=weight[labels == j]) for j in range(labels.max() + 1)])
-    cost = totals(rows, lambda x: np.array([squared_distances(x, centers).min(1).sum()]), 1)[0]
-    return Clusters("ahc", centers, float(cost), 1, True, None, extras={"merges": merges})
+    """k-means from several k-means++ starts, all in the same scans; the one of least cost."""
+    from . import many
+
+    seeds = [seed + i for i in range(n_init)]
+    found = many.best_of(many.lloyd_runs(rows, many.plus_plus_starts(rows, [(k, s) for s in seeds]), max_iter, seeds=seeds))
+    return found
+
+
+def ward_cuts(rows: DataFrame, ks: Sequence[int], **options) -> dict[int, Clusters]:
+    """Ward's clusters for every k, all cut from one tree; see ``ward.ward_tree``."""
+    from .ward import ward_tree
+
+    tree = ward_tree(rows, **options)
+    leaves, centers, within = tree.cut(ks)
+    return {k: Clusters("ahc", v, within[k], tree.rounds, True, extras={"merges": tree.merges, "leaves": leaves.select("x", F.col(f"k{k}").alias("leaf_label"))}) for k, v in centers.items()}
+
+
+def ward(rows: DataFrame, k: int, seed: int = 1, **options) -> Clusters:
+    """Ward's agglomeration of all rows; nothing in it is random."""
+    return ward_cuts(rows, [k], **options)[k]
 
 
 METHODS = {"fcm": fcm, "pfcm": pfcm, "gk": gustafson_kessel, "kmeans": kmeans, "ahc": ward}
@@ -305,6 +239,17 @@ def run_method(method: str, rows: DataFrame, k: int, seed: int = 1, **options) -
 
 
 def with_restarts(method: str, rows: DataFrame, k: int, seeds: Sequence[int], **options) -> tuple[Clusters, list[Clusters]]:
-    """The run of least objective, and all runs; agglomeration has no seed and runs once."""
-    runs = [run_method(method, rows, k, seed=s, **options) for s in (list(seeds)[:1] if method == "ahc" else seeds)]
-    return min(runs, key=lambda r: r.objective if np.isfinite(r.objective) else float("inf")), runs
+    """The run of least objective, and all runs; agglomeration has no seed and runs once.
+
+    The runs of fuzzy c-means are one: each step of all of them is one scan.
+    """
+    from . import many
+
+    if method == "fcm":
+        _check(k, options.get("m", 2.0))
+        options = dict(options)
+        starts = {"kmeans++": many.plus_plus_starts}.get(options.pop("init", "random"), many.random_starts)(rows, [(k, s) for s in seeds])
+        runs = many.fcm_runs(rows, starts, seeds=list(seeds), **options)
+    else:
+        runs = [run_method(method, rows, k, seed=s, **options) for s in (list(seeds)[:1] if method == "ahc" else seeds)]
+    return many.best_of(runs), runs

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from softseg.sources.schema import EVENT_TYPES, NAVIGATION
 
+from .quantiles import exact_quantiles
+
 DAYS_PER_MONTH = 30.4375
 #: First and last hour of the crisp working window.
 WORK_FROM, WORK_TO = 8.0, 16.0
@@ -122,13 +124,14 @@ def scalar_columns(frame: DataFrame, user_id_col: str = "user_id") -> list[str]:
 
 
 def summary(frame: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(indicator, n, mean, std, min, p25, p50, p75, max), quantiles exact."""
+    """(indicator, n, mean, std, min, p25, p50, p75, max), quantiles exact; one row an indicator, whatever the rows."""
     columns = columns or scalar_columns(frame)
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("indicator"), F.col(c).cast("double").alias("x")) for c in columns])).alias("p")
-    return frame.select(pairs).select("p.*").groupBy("indicator").agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"),
-        *[F.percentile("x", q).alias(f"p{round(100 * q)}") for q in (0.25, 0.5, 0.75)], F.max("x").alias("max"),
-    )
+    x = {c: F.col(c).cast("double") for c in columns}
+    parts = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    row = frame.agg(*[f(v).alias(f"{i}:{p}") for i, v in enumerate(x.values()) for p, f in parts.items()]).first()
+    at = exact_quantiles(frame, x, (0.25, 0.5, 0.75))
+    rows = [(c, *(row[f"{i}:{p}"] for p in ("n", "mean", "std", "min")), *at[c], row[f"{i}:max"]) for i, c in enumerate(columns)]
+    return frame.sparkSession.createDataFrame(rows, "indicator string, n long, mean double, std double, min double, p25 double, p50 double, p75 double, max double")
 
 
 __all__ = ["EVENT_TYPES", "NAVIGATION", "Period", "hour_of_day", "indicators", "scalar_columns", "summary", "user_counts"]

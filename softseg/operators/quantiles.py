@@ -1,9 +1,12 @@
-"""Exact quantiles of any number of rows.
+"""Exact quantiles of any number of rows and columns.
 
-An approximate quantile brackets the place; one aggregation counts the rows
-below the bracket, and only the rows inside it, a fixed small part of all, are
-ordered.  The result is the linear interpolation between neighbouring ranks,
-as of ``percentile``, whose memory grows with the distinct values instead.
+Every wanted place is bracketed by an approximate quantile, the rows below and
+inside all brackets are counted in one scan, and brackets that still hold many
+rows are bracketed again within themselves.  When all are small, one more
+aggregation reads the values at the ranks.  Each scan serves all columns and
+all quantiles; what a task holds is bounded.  The result is the linear
+interpolation between neighbouring ranks, as of ``percentile``, whose memory
+grows with the distinct values instead.
 """
 
 from __future__ import annotations
@@ -13,46 +16,55 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which the plain aggregate is used.
+#: Rows of a bracket from which on it is narrowed.
 SMALL_ROWS = 1_000_000
 #: Ranks off by at most one part in this many, in the bracketing step.
 ACCURACY = 10_000
+#: Aggregates of one scan, at most.
+_AT_ONCE = 120
 
 
-def exact_quantiles(frame: DataFrame, values: Mapping[str, Column], quantiles: Sequence[float], small_rows: int = SMALL_ROWS, accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
-    """Name -> quantiles of its column, nulls left out; null if there is no value."""
-    if not values:
-        return {}
-    cols = frame.select(*[v.cast("double").alias(n) for n, v in values.items()])
-    sizes = cols.agg(*[F.count(n).alias(n) for n in values]).first()
-    if max(sizes) <= small_rows:
-        row = cols.agg(*[F.percentile(n, F.array(*map(F.lit, map(float, quantiles)))).alias(n) for n in values]).first()
-        return {n: list(row[n]) if row[n] is not None else [None] * len(quantiles) for n in values}
-    off = 3 / accuracy
-    ends = [max(0.0, q - off) for q in quantiles] + [min(1.0, q + off) for q in quantiles]
-    near = cols.agg(*[F.percentile_approx(n, ends, accuracy).alias(n) for n in values], *[F.array(F.min(n), F.max(n)).alias(f"{n}:ends") for n in values]).first()
-    m = len(quantiles)
-    box = {}
-    for n in values:
-        for i, q in enumerate(quantiles):
-            lo = near[f"{n}:ends"][0] if ends[i] <= 0 else near[n][i]
-            hi = near[f"{n}:ends"][1] if ends[m + i] >= 1 else near[n][m + i]
-            box[n, i] = (lo, hi)
-    below = cols.agg(*[F.count(F.when(F.col(n) < lo, 1)).alias(f"{n}:{i}") for (n, i), (lo, _) in box.items()]).first()
-    out: dict[str, list[float | None]] = {n: [] for n in values}
-    for (n, i), (lo, hi) in box.items():
-        rank = quantiles[i] * (sizes[n] - 1) - below[f"{n}:{i}"]
-        counted = cols.filter(F.col(n).between(lo, hi)).groupBy(n).count()
-        out[n].append(_at_rank(counted, n, rank))
+def _aggregate(frame: DataFrame, wanted: Mapping[str, Column]) -> dict:
+    """All aggregates by name; some hundred at a time, so that a plan stays small."""
+    names, out = list(wanted), {}
+    for at in range(0, len(names), _AT_ONCE):
+        row = frame.agg(*[wanted[n].alias(f"a{i}") for i, n in enumerate(names[at : at + _AT_ONCE])]).first()
+        out |= dict(zip(names[at : at + _AT_ONCE], row))
     return out
 
 
-def _at_rank(counted: DataFrame, name: str, rank: float) -> float:
-    """Value at a fractional rank of (value, count) rows."""
-    whole = int(rank)
-    from pyspark.sql import Window
-
-    upto = F.sum("count").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counted.withColumn("upto", upto)
-    a, b = (ranked.filter(F.col("upto") > r).agg(F.min(name)).first()[0] for r in (whole, whole + 1))
-    return a if b is None or rank == whole else a + (rank - whole) * (b - a)
+def exact_quantiles(frame: DataFrame, values: Mapping[str, Column], quantiles: Sequence[float], small_rows: int = SMALL_ROWS, accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
+    """Name -> quantiles of its column, nulls left out; null if there is no value.  NaN counts as the largest number."""
+    if not values or not quantiles:
+        return {n: [] for n in values}
+    names = list(values)
+    cols = frame.select(*[v.cast("double").alias(f"v{j}") for j, v in enumerate(values.values())])
+    col = [F.col(f"v{j}") for j in range(len(names))]
+    known = _aggregate(cols, {(j, what): f(c) for j, c in enumerate(col) for what, f in (("n", F.count), ("lo", F.min), ("hi", F.max))})
+    places = [(j, i) for j in range(len(names)) for i in range(len(quantiles)) if known[j, "n"]]
+    rank = {(j, i): quantiles[i] * (known[j, "n"] - 1) for j, i in places}
+    box = {(j, i): (known[j, "lo"], known[j, "hi"]) for j, i in places}
+    inside, below = {p: known[p[0], "n"] for p in places}, dict.fromkeys(places, 0)
+    within = lambda p: col[p[0]].between(F.lit(box[p][0]), F.lit(box[p][1]))
+    while large := [p for p in places if inside[p] > small_rows and box[p][0] < box[p][1]]:
+        off, tried, moved = 3 / accuracy, dict(box), False
+        while not moved:
+            ends = {p: [max(0.0, (rank[p] - below[p]) / (inside[p] - 1) - off), min(1.0, (rank[p] - below[p]) / (inside[p] - 1) + off)] for p in large}
+            near = _aggregate(cols, {p: F.percentile_approx(F.when(within(p), col[p[0]]), ends[p], accuracy) for p in large})
+            for p in large:
+                tried[p] = (box[p][0] if ends[p][0] <= 0 else near[p][0], box[p][1] if ends[p][1] >= 1 else near[p][1])
+            counts = _aggregate(cols, {(p, w): F.count(F.when(c, 1)) for p in large for w, c in (("below", col[p[0]] < tried[p][0]), ("in", col[p[0]].between(*map(F.lit, tried[p]))))})
+            # A bracket counts if it holds the ranks on both sides of its place; a wider one is tried if none does.
+            for p in large:
+                b, n = counts[p, "below"], counts[p, "in"]
+                if b <= int(rank[p]) and (int(rank[p]) + 1 < b + n or tried[p][1] == box[p][1]) and n < inside[p]:
+                    box[p], below[p], inside[p], moved = tried[p], b, n, True
+            off *= 4
+            if off > 1:
+                break
+        if not moved:
+            break
+    fraction = {p: min(1.0, max(0.0, (rank[p] - below[p]) / (inside[p] - 1))) if inside[p] > 1 else 0.0 for p in places}
+    open_ = [p for p in places if box[p][0] < box[p][1]]
+    found = {p: float(box[p][0]) for p in places} | _aggregate(cols, {p: F.percentile(F.when(within(p), col[p[0]]), F.lit(fraction[p])) for p in open_})
+    return {n: [found.get((j, i)) for i in range(len(quantiles))] for j, n in enumerate(names)}

@@ -48,6 +48,42 @@ class Components:
         return sorted(zip(label, map(float, score)), key=lambda p: -p[1])
 
 
+def center_features(pca: Components, centers: np.ndarray, top: int = 20) -> list[dict]:
+    """Features of each centre, a point among the components, mapped back: the largest by size, the largest and the smallest.
+
+    One entry (cluster, ranking, nth, feature, standardised, original) each;
+    ``ranking`` is absolute, positive or negative, of which the last two hold
+    values of that sign only.  Equal values go by the features' order.
+    """
+    names = pca.names or tuple(f"x{i}" for i in range(pca.axes.shape[1]))
+    out = []
+    for j, z in enumerate(np.asarray(centers, float)):
+        value = z @ pca.axes[: len(z)]
+        original = value * pca.scale + pca.mean
+        for ranking, key, kept in (("absolute", -np.abs(value), value == value), ("positive", -value, value > 0), ("negative", value, value < 0)):
+            order = [i for i in np.argsort(key, kind="stable") if kept[i]][:top]
+            out += [{"cluster": j, "ranking": ranking, "nth": n + 1, "feature": names[i], "standardised": float(value[i]), "original": float(original[i])} for n, i in enumerate(order)]
+    return out
+
+
+def covariance_ellipses(pca: Components, centers: np.ndarray, covariances: np.ndarray, deviations: float = 2.0) -> list[dict]:
+    """The ellipse of each cluster in the plane of the first two components: its centre, full axes and angle in degrees.
+
+    Covariances are projected by the components; the long axis lies at
+    ``angle``, in (-90, 90], against the first component.
+    """
+    axes, out = pca.axes[:2], []
+    for j, (v, c) in enumerate(zip(np.asarray(centers, float), np.asarray(covariances, float))):
+        scaled = c / np.outer(pca.scale, pca.scale)
+        values, vectors = np.linalg.eigh(axes @ scaled @ axes.T)
+        values = np.maximum(values[::-1], 1e-10)
+        angle = np.degrees(np.arctan2(vectors[1, -1], vectors[0, -1]))
+        angle += 180 if angle <= -90 else -180 if angle > 90 else 0
+        x, y = pca.project(v[None, :])[0][:2]
+        out.append({"cluster": j, "x": float(x), "y": float(y), "width": float(2 * deviations * np.sqrt(values[0])), "height": float(2 * deviations * np.sqrt(values[1])), "angle": float(angle)})
+    return out
+
+
 def fit_pca(rows: DataFrame, n_components: float = 0.9, max_components: int | None = 20, standardise: bool = False, names: tuple[str, ...] = ()) -> Components:
     """Components of the vectors ``x``: a number in (0, 1] is the share of variance to reach, else a count.
 

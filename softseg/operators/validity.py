@@ -9,14 +9,15 @@ from collections.abc import Callable, Mapping, Sequence
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import clustering
-from .clustering import Clusters
-from .vectors import dot, literal, matrix, squared_distances, totals, width
+from softseg.sources.store import materialise
 
-MAX_SAMPLE = 5_000
+from . import many
+from .blocks import distance_totals
+from .clustering import Clusters
+from .vectors import dot, literal, totals, width, with_rows
 
 
 def array_sum(a: Column) -> Column:
@@ -80,63 +81,75 @@ def calinski_harabasz(frame: DataFrame) -> float:
     return float(between / (k - 1) / (within / (rows - k))) if within > 0 else 1.0
 
 
-def sample(frame: DataFrame, most: int = MAX_SAMPLE, seed: int = 1) -> DataFrame:
+def sample(frame: DataFrame, most: int, seed: int = 1) -> DataFrame:
     """Up to ``most`` rows, by a hash of the id: the same rows in any partitioning."""
     return frame.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most)
 
 
-def silhouette_rows(frame: DataFrame, most: int = MAX_SAMPLE, seed: int = 1) -> DataFrame:
-    """(id, label, u, s): Euclidean silhouette of the rows of a bounded sample.
+def silhouette_rows(frame: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(id, label, u, s): Euclidean silhouettes of the rows of ``asked``, by default of all, among all rows of ``frame``.
 
-    The sample (``most`` rows) is what the tasks share; every row's distances
-    are summed by label in its task.
+    The queries meet all rows in blocks; their distances are summed by label.
+    Labels are few.  A row that is alone with its label has 0, and so have all
+    if there is one label only.  Null labels are left out.
     """
-    part = sample(frame, most, seed)
-    held = part.select("x", "label").toPandas()
-    x, y = np.array(held["x"].tolist(), float).reshape(len(held), -1), held["label"].to_numpy()
-    labels = np.unique(y)
-    one = (y[:, None] == labels[None, :]).astype(float)
-    sizes = one.sum(0)
-    shared = frame.sparkSession.sparkContext.broadcast((x, one, sizes, labels))
-
-    def run(batches):
-        import pyarrow as pa
-
-        x, one, sizes, labels = shared.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            own = np.searchsorted(labels, batch.column(1).to_numpy())
-            sums = np.sqrt(squared_distances(matrix(batch.column(3)), x)) @ one
-            rows = np.arange(len(batch))
-            a = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
-            means = sums / sizes
-            means[rows, own] = np.inf
-            b = means.min(1)
-            s = np.where(sizes[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.where(np.isfinite(s), s, 0.0))], names=["id", "label", "u", "s"])
-
-    u = F.col("u") if "u" in part.columns else F.array(F.lit(1.0)).alias("u")
-    src = part.select("id", F.col("label").cast("int").alias("label"), u, "x")
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, label int, u array<double>, s double")
-
-
-def crisp_silhouette(frame: DataFrame, most: int = MAX_SAMPLE, seed: int = 1) -> float:
+    frame = frame.filter("label is not null")
+    sizes = {r["label"]: r["n"] for r in frame.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labels = sorted(sizes)
+    asked = frame if asked is None else asked.filter("label is not null")
+    u = F.col("u") if "u" in asked.columns else F.array(F.lit(1.0)).alias("u")
+    asked = materialise(asked.select("id", F.col("label").cast("int").alias("label"), u, "x", F.monotonically_increasing_id().alias("nth")), "silhouette-queries")
+    weights = F.array(*[(F.col("label") == l).cast("double") for l in labels]) if labels else F.array(F.lit(0.0))
+    sums = distance_totals(asked, frame.select("x", weights.alias("w")), len(labels))
+    if sums is None:
+        return asked.select("id", "label", "u", F.lit(0.0).alias("s"))
+    own = lambda value: F.coalesce(*[F.when(F.col("label") == l, value(j, l)) for j, l in enumerate(labels)])
+    a = own(lambda j, l: F.col(f"t{j}") / max(sizes[l] - 1, 1))
+    b = F.array_min(F.array(*[F.when(F.col("label") != l, F.col(f"t{j}") / sizes[l]) for j, l in enumerate(labels)]))
+    alone = own(lambda j, l: F.lit(sizes[l] <= 1))
+    s = F.when(alone, 0.0).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
+    return asked.join(sums, "nth").select("id", "label", "u", s.alias("s"))
+
+
+def crisp_silhouette(frame: DataFrame, asked: DataFrame | None = None) -> float:
     if frame.select("label").distinct().limit(2).count() < 2:
         return float("nan")
-    return float(silhouette_rows(frame, most, seed).agg(F.avg("s")).first()[0])
+    return float(silhouette_rows(frame, asked).agg(F.avg("s")).first()[0])
 
 
-def fuzzy_silhouette(frame: DataFrame, alpha: float = 1.0, most: int = MAX_SAMPLE, seed: int = 1) -> float:
+def fuzzy_silhouette(frame: DataFrame, alpha: float = 1.0, asked: DataFrame | None = None) -> float:
     """Silhouettes weighted by how far the largest degree exceeds the second."""
     if frame.select("label").distinct().limit(2).count() < 2:
         return float("nan")
     top = F.sort_array("u", asc=False)
     w = F.pow(F.get(top, F.lit(0)) - F.coalesce(F.get(top, F.lit(1)), F.lit(0.0)), F.lit(float(alpha)))
-    total, weighted, plain = silhouette_rows(frame, most, seed).agg(F.sum(w), F.sum(w * F.col("s")), F.avg("s")).first()
+    total, weighted, plain = silhouette_rows(frame, asked).agg(F.sum(w), F.sum(w * F.col("s")), F.avg("s")).first()
     return float(weighted / total) if total and total > 1e-12 else float(plain)
 
 
+def pairwise_fuzzy_silhouette(frame: DataFrame, m: float = 2.0, asked: DataFrame | None = None) -> DataFrame:
+    """(id, s) of the rows of ``asked``, by default all: silhouettes whose distances to a cluster are means over all rows, weighted by u^m.
+
+    ``asked`` and ``frame`` have ``id``, ``x`` and ``u``.  A row belongs to its
+    first largest degree; degrees below 1e-12 count as that.  With fewer than
+    two clusters, and for equal distances of zero, it is 0.
+    """
+    k = frame.select(F.size("u")).first()
+    weights = F.transform("u", lambda v: F.pow(F.greatest(F.lit(1e-12), F.least(F.lit(1.0), v)), F.lit(float(m))))
+    queries = materialise((frame if asked is None else asked).select("id", "u", "x", F.monotonically_increasing_id().alias("nth")), "silhouette-queries")
+    if k is None or k[0] < 2:
+        return queries.select("id", F.lit(0.0).alias("s"))
+    k, rows = k[0], frame.select("x", weights.alias("w"))
+    mass = rows.agg(*[F.greatest(F.sum(F.get("w", F.lit(j))), F.lit(1e-12)).alias(f"w{j}") for j in range(k)]).first()
+    sums = distance_totals(queries, rows, k)
+    if sums is None:
+        return queries.select("id", F.lit(0.0).alias("s"))
+    means = F.array(*[F.col(f"t{j}") / F.lit(float(mass[j])) for j in range(k)])
+    found = queries.join(sums, "nth").select("id", means.alias("d"), (F.array_position("u", F.array_max("u")) - 1).cast("int").alias("own"))
+    a, b = F.get("d", F.col("own")), F.array_min(F.filter("d", lambda x, j: j != F.col("own")))
+    return found.select("id", ((b - a) / (F.greatest(a, b) + 1e-12)).alias("s"))
+
+
 def prototype_silhouette(frame: DataFrame, centers: np.ndarray) -> DataFrame:
     """(id, s) from distances to centres only: one pass without pairs."""
     d = F.array_sort(F.array(*[F.sqrt(distance_sq(F.col("x"), literal(c))) for c in centers]))
@@ -202,29 +215,76 @@ def membership_agreement(ref: DataFrame, other: DataFrame) -> float:
     return float(both.agg(F.avg(1 - array_sum(F.zip_with("p", aligned, lambda a, b: F.abs(a - b))) / 2)).first()[0])
 
 
+def _agreements(rows: DataFrame, runs: Sequence[Clusters]) -> list[float]:
+    """``membership_agreement`` of every pair of runs of one k, in two scans for all pairs."""
+    k, pairs = runs[0].k, list(combinations(range(len(runs)), 2))
+    degrees = lambda x: np.hstack([r.degrees(x) for r in runs])
+    size = len(runs) * k
+    overlap = totals(rows, lambda x: (lambda u: u.T @ u)(degrees(x)), size * size).reshape(size, size)
+    block = lambda a, b: (slice(a * k, a * k + k), slice(b * k, b * k + k))
+    match = {(a, b): np.array(assignment(overlap[block(a, b)])) + b * k for a, b in pairs}
+
+    def away(x: np.ndarray) -> np.ndarray:
+        u = degrees(x)
+        return np.array([len(x), *[np.abs(u[:, a * k : a * k + k] - u[:, match[a, b]]).sum() for a, b in pairs]])
+
+    t = totals(rows, away, 1 + len(pairs))
+    return [float(1 - v / max(t[0], 1) / 2) for v in t[1:]]
+
+
+def pairwise_rand(labels: DataFrame, n_runs: int) -> DataFrame:
+    """(a, b, n, adjusted_rand) of every pair a < b of runs, from one table of ``labels`` arrays of int.
+
+    A row counts for a pair if it has a label in both; ``n`` are those rows.
+    The contingency tables of all pairs are one aggregation.
+    """
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.get("labels", F.lit(a)).alias("p"), F.get("labels", F.lit(b)).alias("q")) for a, b in combinations(range(n_runs), 2)])
+    cells = labels.select(F.explode(F.filter(pairs, lambda c: c["p"].isNotNull() & c["q"].isNotNull())).alias("c")).groupBy("c.a", "c.b", "c.p", "c.q").agg(F.count(F.lit(1)).alias("n"))
+    two = lambda n: n * (n - 1) / 2.0
+    side = lambda c: F.sum("n").over(Window.partitionBy("a", "b", c))
+    # Of each class, its first cell counts its whole size.
+    first = lambda c: F.row_number().over(Window.partitionBy("a", "b", c).orderBy("p", "q")) == 1
+    sized = cells.select("a", "b", "n", *[F.when(first(c), two(side(c))).otherwise(0.0).alias(f"s{c}") for c in ("p", "q")])
+    one = sized.groupBy("a", "b").agg(F.sum(two(F.col("n"))).alias("s"), F.sum("sp").alias("sp"), F.sum("sq").alias("sq"), F.sum("n").alias("n"))
+    chance = F.try_divide(F.col("sp") * F.col("sq"), two(F.col("n")))
+    return one.select("a", "b", "n", F.coalesce(F.try_divide(F.col("s") - chance, (F.col("sp") + F.col("sq")) / 2 - chance), F.lit(1.0)).alias("adjusted_rand"))
+
+
+def label_table(rows: DataFrame, runs: Sequence[Clusters], kept: Sequence[Column] | None = None) -> DataFrame:
+    """(id, labels): the label of every run, null where ``kept`` leaves a row out of it; one scan, and a join for each tree."""
+    trees = [i for i, r in enumerate(runs) if "leaves" in r.extras]
+    asked = [c.alias(f"_kept{i}") for i, c in enumerate(kept)] if kept else []
+    wide = rows.select("id", "x", *asked)
+    for i in trees:
+        wide = wide.join(runs[i].extras["leaves"].select("x", F.col("leaf_label").alias(f"_leaf{i}")), "x", "left")
+    found = with_rows(wide, lambda x: np.stack([r.degrees(x).argmax(1) for r in runs], 1), "u")
+    label = lambda i: F.coalesce(F.col(f"_leaf{i}"), F.get("u", F.lit(i)).cast("int")) if i in trees else F.get("u", F.lit(i)).cast("int")
+    return found.select("id", F.array(*[F.when(F.col(f"_kept{i}"), label(i)) if kept else label(i) for i in range(len(runs))]).alias("labels"))
+
+
 def stability(rows: DataFrame, runs: Sequence[Clusters]) -> dict[str, float]:
-    """Mean and least adjusted Rand index over pairs of runs, and mean agreement if they are fuzzy."""
+    """Mean and least adjusted Rand index over pairs of runs, and mean agreement if they are fuzzy; four scans, however many runs."""
     if len(runs) < 2:
         return {"mean_ari": float("nan"), "min_ari": float("nan"), "agreement": float("nan")}
-    frames = [r.assign(rows) for r in runs]
-    ari, agree = [], []
-    for a, b in combinations(range(len(runs)), 2):
-        pair = frames[a].select("id", F.col("label").alias("a_label")).join(frames[b].select("id", F.col("label").alias("b_label")), "id")
-        ari.append(adjusted_rand(pair, "a_label", "b_label").first()[0])
-        if runs[a].fuzzy:
-            agree.append(membership_agreement(frames[a], frames[b]))
-    return {"mean_ari": float(np.mean(ari)), "min_ari": float(np.min(ari)), "agreement": float(np.mean(agree)) if agree else float("nan")}
+    mean, least = pairwise_rand(label_table(rows, runs), len(runs)).agg(F.avg("adjusted_rand"), F.min("adjusted_rand")).first()
+    agree = _agreements(rows, runs) if runs[0].fuzzy and mean is not None else []
+    nan = float("nan")
+    return {"mean_ari": nan if mean is None else mean, "min_ari": nan if least is None else least, "agreement": float(np.mean(agree)) if agree else nan}
+
+
+def subsamples(n_runs: int = 10, part: float = 0.8, seed: int = 1) -> list[Column]:
+    """Which rows each subsample keeps, by hashes of the id."""
+    return [F.pmod(F.xxhash64("id", F.lit(seed + i)), F.lit(1_000_000)) < part * 1_000_000 for i in range(n_runs)]
 
 
-def subsample_stability(rows: DataFrame, fit: Callable[[DataFrame, int], Clusters], n_runs: int = 10, part: float = 0.8, seed: int = 1) -> dict[str, float]:
+def subsample_stability(rows: DataFrame, fit: Callable[[DataFrame, int], Clusters], n_runs: int = 10, part: float = 0.8, seed: int = 1, kept: Sequence[Column] | None = None) -> dict[str, float]:
     """Stability over subsamples; two runs are compared on the rows that both have."""
-    kept = [rows.filter(F.pmod(F.xxhash64("id", F.lit(seed + i)), F.lit(1_000_000)) < part * 1_000_000) for i in range(n_runs)]
-    frames = [fit(r, seed + i).assign(r) for i, r in enumerate(kept)]
-    ari = []
-    for a, b in combinations(frames, 2):
-        pair = a.select("id", F.col("label").alias("a_label")).join(b.select("id", F.col("label").alias("b_label")), "id")
-        ari.append(adjusted_rand(pair, "a_label", "b_label").first()[0])
-    return {"mean_ari": float(np.mean(ari)), "min_ari": float(np.min(ari))} if ari else {"mean_ari": float("nan"), "min_ari": float("nan")}
+    kept = subsamples(n_runs, part, seed) if kept is None else kept
+    runs = [fit(rows.filter(c), seed + i) for i, c in enumerate(kept)]
+    if len(runs) < 2:
+        return {"mean_ari": float("nan"), "min_ari": float("nan")}
+    mean, least = pairwise_rand(label_table(rows, runs, kept), len(runs)).agg(F.avg("adjusted_rand"), F.min("adjusted_rand")).first()
+    return {"mean_ari": float("nan") if mean is None else mean, "min_ari": float("nan") if least is None else least}
 
 
 def detect_elbow(ks: Sequence[int], values: Sequence[float]) -> int | None:
@@ -237,19 +297,29 @@ def detect_elbow(ks: Sequence[int], values: Sequence[float]) -> int | None:
     return int(ks[int(gap.argmax())]) if gap.max() > 0 else None
 
 
-def k_metrics(rows: DataFrame, ks: Sequence[int], n_restarts: int = 5, m: float = 2.0, seed: int = 1, **options) -> list[dict]:
-    """Validity of fuzzy c-means and k-means for each k."""
+#: k-means starts of each k in a sweep.
+KMEANS_STARTS = 10
+
+
+def k_metrics(rows: DataFrame, ks: Sequence[int], n_restarts: int = 5, m: float = 2.0, seed: int = 1, max_iter: int = 300, tol: float = 1e-5, asked: DataFrame | None = None) -> list[dict]:
+    """Validity of the best fuzzy c-means and k-means of each k.
+
+    All runs of all k share their scans, and so do the indices; silhouettes
+    are those of the rows of ``asked``, by default of all rows, among all rows.
+    """
+    seeds = range(seed, seed + n_restarts)
+    plan = [(k, s) for k in ks for s in seeds]
+    soft = many.fcm_runs(rows, many.random_starts(rows, plan), m, max_iter, tol, [s for _, s in plan])
+    hard_plan = [(k, seed + i) for k in ks for i in range(KMEANS_STARTS)]
+    hard = many.lloyd_runs(rows, many.plus_plus_starts(rows, hard_plan), max_iter, seeds=[s for _, s in hard_plan])
+    best = [many.best_of([r for r in soft if r.k == k]) for k in ks]
+    least = {k: many.best_of([r for r in hard if r.k == k]).objective for k in ks}
     out = []
-    for k in ks:
-        best, _ = clustering.with_restarts("fcm", rows, k, range(seed, seed + n_restarts), m=m, **options)
-        frame = best.assign(rows)
-        km = clustering.kmeans(rows, k, seed, 3)
-        out.append({
-            "k": k, "fcm_objective": best.objective, "kmeans_inertia": km.objective,
-            "partition_coefficient": partition_coefficient(frame).first()[0], "classification_entropy": classification_entropy(frame).first()[0],
-            "xie_beni": xie_beni(frame, best.centers, m).first()[0], "davies_bouldin": davies_bouldin(frame),
-            "calinski_harabasz": calinski_harabasz(frame), "silhouette": crisp_silhouette(frame),
-        })
+    for model, row in zip(best, many.validity_table(rows, best, m)):
+        queries = None if asked is None else model.assign(asked)
+        value = crisp_silhouette(model.assign(rows), queries) if np.isfinite(row["davies_bouldin"]) else float("nan")
+        names = ("partition_coefficient", "classification_entropy", "xie_beni", "davies_bouldin", "calinski_harabasz")
+        out.append({"k": model.k, "fcm_objective": model.objective, "kmeans_inertia": least[model.k], **{n: row[n] for n in names}, "silhouette": value})
     return out
 
 

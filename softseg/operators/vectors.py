@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Kernel = Callable[[np.ndarray], np.ndarray]
+#: Totals from which they are added up as arrays, and groups in which that is done.
+MANY, GROUPS = 4096, 16
 
 
 def vector(columns: list[str]) -> Column:
@@ -44,6 +46,13 @@ def totals(rows: DataFrame, kernel: Kernel, size: int, more_columns: Sequence[st
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["t"])
 
     parts = rows.select(*names).mapInArrow(run, "t array<double>")
+    if size > MANY:
+        # Long totals are added up as arrays, in as many groups as the driver then gets rows.
+        def add(table: pa.Table) -> pa.Table:
+            return pa.table({"t": pa.array([matrix(table.column("t").combine_chunks()).sum(0).tolist()], pa.list_(pa.float64()))})
+
+        grouped = parts.withColumn("g", F.spark_partition_id() % GROUPS).groupBy("g").applyInArrow(lambda t: add(t), "t array<double>")
+        return sum((np.array(r["t"]) for r in grouped.collect()), np.zeros(size))
     got = parts.select(F.posexplode("t").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(size)
     for r in got:
@@ -51,6 +60,17 @@ def totals(rows: DataFrame, kernel: Kernel, size: int, more_columns: Sequence[st
     return out
 
 
+def largest_and_total(rows: DataFrame, kernel: Kernel) -> tuple[float, float]:
+    """Over all blocks the largest first and the sum of the second of two numbers; zeros without rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [kernel(matrix(batch.column(0))) for batch in batches if len(batch)]
+        yield pa.RecordBatch.from_arrays([pa.array([float(g[0]) for g in got]), pa.array([float(g[1]) for g in got])], names=["a", "b"])
+
+    row = rows.select("x").mapInArrow(run, "a double, b double").agg(F.max("a"), F.sum("b")).first()
+    return row[0] or 0.0, row[1] or 0.0
+
+
 def with_rows(rows: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], name: str = "u") -> DataFrame:
     """``rows`` with an array column computed block by block from ``x``; adds no shuffle."""
     names = [c for c in rows.columns if c != name]

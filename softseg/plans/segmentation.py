@@ -57,8 +57,9 @@ def evaluate(model: Clusters, rows: DataFrame, runs: list[Clusters], values: Dat
     """Separation, stability, interpretability and privacy of one fitted method."""
     frame = materialise(model.assign(rows), "assigned")
     e = cfg["evaluation"]
-    options = {"most": e["max_silhouette_samples"], "seed": cfg["clustering"]["seed"]}
-    out: dict = {"method": model.method, "separation": validity.separation(frame, model.fuzzy, **options)}
+    # The queries are a bounded sample, a documented setting; each is compared with all rows.
+    asked = validity.sample(frame, e["max_silhouette_samples"], cfg["clustering"]["seed"])
+    out: dict = {"method": model.method, "separation": validity.separation(frame, model.fuzzy, asked=asked)}
     if model.method == "ahc":
         out["stability"] = validity.subsample_stability(rows, lambda r, s: clustering.ward(r, model.k, seed=s), min(3, e["stability_runs"]))
     else:
@@ -134,7 +135,7 @@ def run(case: CaseTables, given: dict | None = None, compare: bool = True, selec
     c = cfg["clustering"]
     k = c["k"]
     if select_k or k is None:
-        metrics = validity.k_metrics(rows, range(c["k_min"], c["k_max"] + 1), min(5, c["n_restarts"]), c["m"], c["seed"], max_iter=c["max_iter"], tol=c["tol"])
+        metrics = validity.k_metrics(rows, range(c["k_min"], c["k_max"] + 1), min(5, c["n_restarts"]), c["m"], c["seed"], c["max_iter"], c["tol"], validity.sample(rows, cfg["evaluation"]["max_silhouette_samples"], c["seed"]))
         out.figures |= {"k_selection_metrics": metrics, "k_selection_suggestions": validity.suggest_k(metrics)}
         k = k or out.figures["k_selection_suggestions"]["recommended"]
     done("k selection")
