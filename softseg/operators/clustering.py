@@ -33,6 +33,10 @@ class Clusters:
     m: float = 2.0
     extras: dict = field(default_factory=dict)
 
+    def __getstate__(self) -> dict:
+        """What travels to tasks: everything but the frames."""
+        return self.__dict__ | {"extras": {n: v for n, v in self.extras.items() if not isinstance(v, DataFrame)}}
+
     @property
     def k(self) -> int:
         return len(self.centers)

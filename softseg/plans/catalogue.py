@@ -465,6 +465,23 @@ def unpack_event_counts(spark, d):
     return counts.unpack_counts(_wide(spark, d).select("user_id", cell.alias("event_type_counts")), "event_type_counts", _KINDS)
 
 
+@query("with " + _WIDE + " select user_id, n_click as click, case when user_id % 5 = 3 then 0 else n_error end as error, n_view as view, "
+       "case when user_id % 5 = 4 then 7 else 0 end as with_comma, case when user_id % 5 = 4 then 8 else 0 end as with_quote, case when user_id % 5 = 1 then 2 else 0 end as twice from wd")
+def unpack_count_cells(spark, d):
+    """Cells in five forms, by user: bare and quoted names, JSON with numbers in quotes and nulls, names that hold a comma or a quote, names that come twice."""
+    n = lambda k: F.col(f"n_{k}").cast("string")
+    cells = [
+        F.concat(F.lit("{click: "), n("click"), F.lit(",error:"), n("error"), F.lit(", view: "), n("view"), F.lit("}")),
+        F.concat(F.lit('{"twice": 1, "click": '), n("click"), F.lit(', "error": '), n("error"), F.lit(', "twice": 2, "view": '), n("view"), F.lit("}")),
+        F.concat(F.lit("{'click': "), n("click"), F.lit(", 'error': "), n("error"), F.lit(", 'view': "), n("view"), F.lit(", 'other': None}")),
+        F.concat(F.lit('{"click": "'), n("click"), F.lit('", "error": null, "view": '), n("view"), F.lit("}")),
+        F.concat(F.lit('{"a,b": 7, "a\\"b": 8, "click": '), n("click"), F.lit(', "error": '), n("error"), F.lit(', "view": '), n("view"), F.lit("}")),
+    ]
+    cell = F.coalesce(*[F.when(F.col("user_id") % 5 == i, c) for i, c in enumerate(cells)])
+    found = counts.unpack_counts(_wide(spark, d).select("user_id", cell.alias("cell")), "cell", ("click", "error", "view", "a,b", 'a"b', "twice"))
+    return found.withColumnsRenamed({"a,b": "with_comma", 'a"b': "with_quote"})
+
+
 _GROUPED = {"created": "n_purchase + n_signup", "deleted": "n_error", "consumed": "n_view", "reacted": "n_click"}
 _TOTAL = " + ".join(f"n_{k}" for k in _KINDS)
 

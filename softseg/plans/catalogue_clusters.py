@@ -10,12 +10,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softseg.operators import clustering, counts, profiles, reduce, validity
+from softseg.operators import clustering, counts, many, profiles, reduce, validity
 from softseg.operators.vectors import argmax_label, squared_distances, vector_frame, with_rows
+from softseg.operators.ward import ward_tree
 from softseg.sources import driver_tables as src
+from softseg.sources.store import materialise
 
+from . import segmentation
 from . import sql as S
 from .catalogue import _fuzzy, _ind, query, rnd, rounded
+from .config import config as make_config
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -107,6 +111,18 @@ def fuzzy_silhouette(spark, d):
     return _one(spark, d, "fuzzy_silhouette", value)
 
 
+@query(f"""with {S.MEMBERS}, {_PAIRS.split("mm as")[0].replace("on a.i <> b.i", "on a.i % 100 = 0").replace("select a.i, a.label as own, b.label as other", "select a.i, b.i as o").rstrip().rstrip(",")},
+ms as (select j, sum(u * u) as w from mem group by 1),
+md as (select pr.i, j, sum(r * u * u) / any_value(w) as m from pr join mem on mem.i = pr.o join ms using (j) group by 1, 2),
+ow as (select i, arg_max(j, (u, -j)) as own from mem group by 1),
+ab as (select md.i, max(case when j = own then m end) as a, min(case when j <> own then m end) as b from md join ow using (i) group by 1)
+select i as id, {rnd('(b - a) / (greatest(a, b) + 1e-12)', 's', 5)} from ab""")
+def pairwise_fuzzy_silhouette(spark, d):
+    """Silhouettes by distances weighted by squared degrees: the rows whose id is divisible by 100, among all rows."""
+    frame, _ = _assigned(spark, d)
+    return rounded(validity.pairwise_fuzzy_silhouette(frame, asked=frame.filter("id % 100 = 0")), 5)
+
+
 @query(f"""with {S.VECTORS}, rk as (select i, sqrt(d2) as r, row_number() over (partition by i order by d2, j) as k from dis)
 select a.i as id, {rnd('(b.r - a.r) / greatest(a.r, b.r)', 's', 5)} from rk a join rk b on a.i = b.i and a.k = 1 and b.k = 2""")
 def prototype_silhouette(spark, d):
@@ -220,11 +236,69 @@ def kmeans_fixed_iter(spark, d):
     return rounded(_center_frame(rows, clustering.lloyd(rows, first, 3, -1.0).centers), 4)
 
 
+_START_SQL = """f{s} as (select {s} as start, sum(u * u * d2) as objective from u3_{s} join d3_{s} using (i, j))"""
+
+
+def _start_sql(s: int) -> str:
+    """Three steps from the vectors of ids 3 s to 3 s + 2."""
+    steps = f"c0_{s} as (select i - {3 * s} as j, d, v as c from v where i >= {3 * s} and i < {3 * s + 3})"
+    for n in range(1, 4):
+        steps += ", " + _FCM_STEP.format(p=f"{n - 1}_{s}", n=f"{n}_{s}")
+    return steps + ", " + _START_SQL.format(s=s)
+
+
+@query(f"with {S.VECTORS}, v as (select i, d, v from vec), {', '.join(map(_start_sql, range(4)))}, al as ({' union all '.join(f'select * from f{s}' for s in range(4))})"
+       f" select start, {rnd('objective', 'objective', 4)}, objective = (select min(objective) from al) as best from al")
+def fcm_fixed_starts(spark, d):
+    """Four starts of three steps in the same three scans, and which has the least objective."""
+    rows = _vectors(spark, d).select("id", "x")
+    got = {r["id"]: r["x"] for r in rows.filter("id < 12").collect()}
+    runs = many.fcm_runs(rows, [np.array([got[3 * s + j] for j in range(3)], float) for s in range(4)], max_iter=3, tol=0.0)
+    best = many.best_of(runs)
+    return rounded(spark.createDataFrame([(s, r.objective, r is best) for s, r in enumerate(runs)], "start int, objective double, best boolean"), 4)
+
+
+_KS = range(2, 11)
+
+
+@query(f"""with {S.VECTORS}, ks as (select unnest(range(2, 11)) as k),
+dd as (select a.i, b.i as j, greatest(sum((a.v - b.v) * (a.v - b.v)), 0e0) as d2 from vec a join vec b using (d) where b.i < 10 group by 1, 2),
+uu as (select k, i, j, d2, case when min(d2) over (partition by k, i) <= 1e-12 then (case when d2 <= 1e-12 then 1e0 else 0e0 end) / sum(case when d2 <= 1e-12 then 1e0 else 0e0 end) over (partition by k, i)
+                           else (1e0 / greatest(d2, 1e-12)) / sum(1e0 / greatest(d2, 1e-12)) over (partition by k, i) end as u from dd join ks on j < k),
+la as (select k, i, arg_max(j, (u, -j)) as l from uu group by 1, 2),
+me as (select k, l, d, avg(v) as c from la join vec using (i) group by 1, 2, 3),
+sz as (select k, l, count(*) as n from la group by 1, 2),
+rr as (select k, l, i, sum((v - c) * (v - c)) as r2 from la join vec using (i) join me using (k, l, d) group by 1, 2, 3),
+sc as (select k, l, avg(sqrt(r2)) as s, sum(r2) as w from rr group by 1, 2),
+ga as (select a.k, a.l as a, b.l as b, sqrt(sum((a.c - b.c) * (a.c - b.c))) as g from me a join me b on a.k = b.k and a.d = b.d and a.l <> b.l group by 1, 2, 3),
+db as (select k, avg(r) as db from (select ga.k, a, max((x.s + y.s) / g) as r from ga join sc x on x.k = ga.k and x.l = a join sc y on y.k = ga.k and y.l = b group by 1, 2) group by 1),
+gm as (select d, avg(v) as m from vec group by 1),
+be as (select k, sum(n * (c - m) * (c - m)) as b from me join gm using (d) join sz using (k, l) group by 1),
+wi as (select k, sum(w) as w, count(*) as q from sc group by 1),
+sp as (select k, min(g) as g from (select k, a.i, b.i as o, sum((a.v - b.v) * (a.v - b.v)) as g from vec a join vec b on a.d = b.d and a.i < b.i join ks on b.i < k where b.i < 10 group by 1, 2, 3) group by 1),
+su as (select k, sum(u * u) as pc, -sum(u * ln(greatest(1e-12, least(1e0, u)))) as ce, sum(u * u * d2) as j from uu group by 1),
+nn as (select count(*) as n from embeddings)
+select cast(k as integer) as k, {rnd('j', 'objective', 4)}, {rnd('pc / n', 'partition_coefficient')}, {rnd('ce / n', 'classification_entropy')}, {rnd('ce / n / ln(k)', 'normalised_entropy')}, {rnd('j / (n * g)', 'xie_beni', 4)}, {rnd('db', 'davies_bouldin', 5)}, {rnd('b / (q - 1) / (w / (n - q))', 'calinski_harabasz', 4)}
+from su join sp using (k) join db using (k) join be using (k) join wi using (k), nn""")
+def k_criteria(spark, d):
+    """Objective and six indices for k = 2 to 10 at given centres, the vectors of the first k ids: two scans for all of them."""
+    rows = _vectors(spark, d).select("id", "x")
+    first = np.array([r["x"] for r in rows.filter("id < 10").orderBy("id").collect()], float)
+    table = many.validity_table(rows, [clustering.Clusters("fcm", first[:k], 0.0, 0, True) for k in _KS])
+    digits = {"objective": 4, "xie_beni": 4, "davies_bouldin": 5, "calinski_harabasz": 4}
+    frame = spark.createDataFrame([tuple(r.values()) for r in table], ", ".join(f"{n} {'int' if n == 'k' else 'double'}" for n in table[0]))
+    return frame.select(*[F.col(c) if c == "k" else F.round(c, digits.get(c, 6)).alias(c) for c in frame.columns])
+
+
 def _reduced(spark: SparkSession, d: str) -> DataFrame:
-    """(id, label, x): the first principal components, kept for the iterations."""
+    """(id, label, x): the components that hold nine tenths of the variance, written for the iterations."""
     rows = _vectors(spark, d)
-    pca = reduce.fit_pca(rows, 5)
-    return pca.transform(rows, "pc").select("id", "label", F.col("pc").alias("x")).persist()
+    pca = reduce.fit_pca(rows, 0.9)
+    return materialise(pca.transform(rows, "pc").select("id", "label", F.col("pc").alias("x")), "components")
+
+
+def _whole(spark: SparkSession, d: str) -> DataFrame:
+    return materialise(_vectors(spark, d), "vectors")
 
 
 @query()
@@ -245,51 +319,59 @@ def _labels_of(model: clustering.Clusters, rows: DataFrame) -> DataFrame:
     return model.assign(rows.withColumnRenamed("label", "truth")).select("id", "label", F.array_max("u").alias("degree"))
 
 
+#: Production values of the configuration: restarts of a run and of a sweep.
+_RESTARTS, _SWEEP_RESTARTS = 30, 5
+
+
 @query()
 def fcm_restarts(spark, d):
+    """The best of thirty runs of up to 300 steps each; all runs share their scans."""
     rows = _reduced(spark, d)
-    return _labels_of(clustering.with_restarts("fcm", rows.drop("label"), 4, range(1, 4), max_iter=15)[0], rows)
+    return _labels_of(clustering.with_restarts("fcm", rows.drop("label"), 4, range(1, _RESTARTS + 1))[0], rows)
 
 
 @query()
 def pfcm(spark, d):
     rows = _reduced(spark, d)
-    return _labels_of(clustering.pfcm(rows.drop("label"), 4, max_iter=10), rows)
+    return _labels_of(clustering.pfcm(rows.drop("label"), 4), rows)
 
 
 @query()
 def gk(spark, d):
     rows = _reduced(spark, d)
-    return _labels_of(clustering.gustafson_kessel(rows.drop("label"), 4, max_iter=10), rows)
+    return _labels_of(clustering.gustafson_kessel(rows.drop("label"), 4), rows)
 
 
 @query()
 def kmeans(spark, d):
-    rows = _reduced(spark, d)
-    return _labels_of(clustering.kmeans(rows.drop("label"), 4, n_init=3), rows)
+    rows = _whole(spark, d)
+    return _labels_of(clustering.kmeans(rows.drop("label"), 4), rows)
 
 
 @query()
 def ward(spark, d):
-    rows = _reduced(spark, d)
-    return _labels_of(clustering.ward(rows.drop("label"), 4, points=128), rows)
+    """Labels of all vectors for k = 2 to 12, cut from one exact tree."""
+    rows = _whole(spark, d)
+    leaves, _, _ = ward_tree(rows).cut(range(2, 13))
+    return rows.select("id", "x").join(leaves.drop("leaf", "n"), "x").drop("x")
 
 
 @query()
 def membership_agreement(spark, d):
     rows = _reduced(spark, d).drop("label")
-    runs = [clustering.fcm(rows, 3, max_iter=8, seed=s) for s in (1, 2)]
+    runs = [clustering.fcm(rows, 3, seed=s) for s in (1, 2)]
     return _one(spark, d, "membership_agreement", validity.membership_agreement(*(r.assign(rows) for r in runs)), 4)
 
 
 @query()
 def k_selection(spark, d):
+    """Criteria for k = 2 to 10 over all components and rows, five restarts of up to 300 steps, ten k-means starts."""
     rows = _reduced(spark, d).drop("label")
-    metrics = validity.k_metrics(rows, range(2, 5), n_restarts=1, max_iter=8)
+    metrics = validity.k_metrics(rows, _KS, _SWEEP_RESTARTS)
     best = validity.suggest_k(metrics)["recommended"]
     names = list(metrics[0])
-    cells = F.array(*[F.struct(*[F.lit(float(m[n])).alias(n) for n in names], F.lit(m["k"] == best).alias("recommended")) for m in metrics])
-    return rounded(rows.limit(1).select(F.explode(cells).alias("p")).select("p.*"), 4)
+    found = [(*(float(m[n]) for n in names), m["k"] == best) for m in metrics]
+    return rounded(spark.createDataFrame(found, ", ".join(f"{n} double" for n in names) + ", recommended boolean"), 4)
 
 
 def _user_clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -330,8 +412,8 @@ def dominant_attributes(spark, d):
 def archetype_labels(spark, d):
     """Clusters of the fuzzy user vectors, named after the nearest archetypes, with their users."""
     engine, fuzzy = _fuzzy(spark, d)
-    rows = vector_frame(fuzzy, engine.columns).persist()
-    model = clustering.fcm(rows, 4, max_iter=10)
+    rows = materialise(vector_frame(fuzzy, engine.columns), "fuzzy-vectors")
+    model = clustering.fcm(rows, 4)
     labelled = model.assign(rows).select(F.col("id").alias("user_id"), "label").join(_ind(spark, d), "user_id")
     means = {r["cluster"]: r.asDict() for r in profiles.feature_averages(labelled).collect()}
     names = profiles.label_archetypes(means)
@@ -341,15 +423,18 @@ def archetype_labels(spark, d):
 
 @query()
 def method_comparison(spark, d):
-    """Separation and sizes of five methods on the reduced vectors."""
-    rows = _reduced(spark, d).drop("label")
-    parts = []
-    for method, options in (("fcm", {"max_iter": 8}), ("pfcm", {"max_iter": 5}), ("gk", {"max_iter": 5}), ("kmeans", {"n_init": 1}), ("ahc", {"points": 64})):
-        model = clustering.run_method(method, rows, 3, 1, **options)
-        frame = model.assign(rows)
-        value = validity.separation(frame, model.fuzzy, most=1000)
-        parts.append(frame.agg(F.lit(method).alias("method"), F.round(F.lit(value), 4).alias("separation"), F.count_distinct("label").alias("n_clusters"), F.count(F.lit(1)).alias("n")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    """Five methods on all rows: separation, stability over runs or subsamples, interpretability and privacy.
+
+    Fuzzy methods take the components, crisp ones the whole vectors.
+    """
+    soft, whole = _reduced(spark, d).drop("label"), _whole(spark, d).drop("label")
+    cfg, width = make_config(), len(whole.first()["x"])
+    columns = [f"x{i}" for i in range(width)]
+    values = materialise(whole.select("id", *[F.col("x")[i].alias(c) for i, c in enumerate(columns)]), "values")
+    found = []
+    for method in clustering.METHODS:
+        rows = whole if method in ("kmeans", "ahc") else soft
+        best, runs = clustering.with_restarts(method, rows, 3, range(1, 4))
+        e = segmentation.evaluate(best, rows, runs, values, columns, cfg, [])
+        found.append((method, e["separation"], e["stability"]["mean_ari"], e["stability"]["min_ari"], e["interpretability"], e["privacy"], int(best.k), int(rows.count())))
+    return rounded(spark.createDataFrame(found, "method string, separation double, mean_ari double, min_ari double, interpretability double, privacy string, n_clusters int, n long"), 4)

@@ -102,7 +102,7 @@ u{n} as (select *, case when min(d2) over (partition by i) <= 1e-12 then (case w
                       else (1e0 / greatest(d2, 1e-12)) / sum(1e0 / greatest(d2, 1e-12)) over (partition by i) end as u from d{n}),
 m{n} as (select j, sum(u * u * x) / sum(u * u) as x, sum(u * u * y) / sum(u * u) as y from u{n} group by 1),
 k{n} as (select j, any_value(m.x) as x, any_value(m.y) as y, sum(u * u * (u.x - m.x) * (u.x - m.x)) / sum(u * u) as a, sum(u * u * (u.x - m.x) * (u.y - m.y)) / sum(u * u) as b, sum(u * u * (u.y - m.y) * (u.y - m.y)) / sum(u * u) as c from u{n} u join m{n} m using (j) group by 1),
-r{n} as (select j, x, y, a + 1e-3 * (a + c) / 2 + 1e-12 as a, b, c + 1e-3 * (a + c) / 2 + 1e-12 as c from k{n}),
+r{n} as (select j, x, y, a + 1e-4 * (a + c) / 2 + 1e-12 as a, b, c + 1e-4 * (a + c) / 2 + 1e-12 as c from k{n}),
 c{n} as (select j, x, y, sqrt(a * c - b * b) * c / (a * c - b * b) as aa, -sqrt(a * c - b * b) * b / (a * c - b * b) as ab, sqrt(a * c - b * b) * a / (a * c - b * b) as bb from r{n})"""
 
 
@@ -146,6 +146,68 @@ def stability_runs(spark, d):
     return rounded(rows.agg(F.count(F.lit(1)).alias("n")).select("n", *[F.lit(found[k]).alias(k) for k in ("mean_ari", "min_ari", "agreement")]))
 
 
+@query(f"""with {S.VECTORS}, rn as (select unnest(range(10)) as r), kp as (select r, vec_id as i from rn join embeddings on (vec_id * 7 + r * 3) % 10 < 8),
+ce as (select r, label as j, d, avg(v) as c from kp join vec using (i) group by 1, 2, 3),
+ds as (select r, i, j, sum((v - c) * (v - c)) as d2 from kp join vec using (i) join ce using (r, d) group by 1, 2, 3),
+la as (select r, i, arg_min(j, (d2, j)) as l from ds group by 1, 2),
+ct as (select x.r as a, y.r as b, x.l as p, y.l as q, count(*) as n from la x join la y on x.i = y.i and x.r < y.r group by 1, 2, 3, 4),
+sp as (select a, b, sum(t * (t - 1) / 2e0) as s from (select a, b, p, sum(n) as t from ct group by 1, 2, 3) group by 1, 2),
+sq as (select a, b, sum(t * (t - 1) / 2e0) as s from (select a, b, q, sum(n) as t from ct group by 1, 2, 3) group by 1, 2),
+st as (select a, b, sum(n * (n - 1) / 2e0) as s, sum(n) * (sum(n) - 1) / 2e0 as t from ct group by 1, 2),
+ar as (select (st.s - sp.s * sq.s / t) / ((sp.s + sq.s) / 2 - sp.s * sq.s / t) as v from st join sp using (a, b) join sq using (a, b))
+select (select count(*) from embeddings) as n, {rnd('avg(v)', 'mean_ari')}, {rnd('min(v)', 'min_ari')} from ar""")
+def stability_subsamples(spark, d):
+    """Ten subsamples of four fifths of the rows, each with its own means of the labels as centres: agreement of all pairs on the rows that both have."""
+    rows = _vectors(spark, d)
+
+    def fit(part: DataFrame, seed: int) -> clustering.Clusters:
+        return clustering.Clusters("kmeans", _means(part), 0.0, 0, True, seed)
+
+    found = validity.subsample_stability(rows, fit, kept=[(F.col("id") * 7 + i * 3) % 10 < 8 for i in range(10)])
+    return rounded(rows.agg(F.count(F.lit(1)).alias("n")).select("n", *[F.lit(found[k]).alias(k) for k in ("mean_ari", "min_ari")]))
+
+
+# Clusters mapped back, and drawn, through components.
+
+_TOP = 5
+
+
+@query(f"""with {S.VECTORS}, st as (select d, avg(v) as m, stddev_pop(v) as s from vec group by 1),
+z as (select j, d, c, (c - m) / s as z from cen join st using (d)),
+r as (select j, 'absolute' as ranking, row_number() over (partition by j order by abs(z) desc, d) as nth, d, z, c from z
+      union all select j, 'positive', row_number() over (partition by j order by z desc, d), d, z, c from z where z > 0
+      union all select j, 'negative', row_number() over (partition by j order by z, d), d, z, c from z where z < 0)
+select cast(j as integer) as cluster, ranking, cast(nth as integer) as nth, 'x' || cast(d - 1 as varchar) as feature, {rnd('z', 'standardised', 4)}, {rnd('c', 'original', 4)} from r where nth <= {_TOP}""")
+def center_features(spark, d):
+    """The label means, as points among the components of the standardised vectors, mapped back and their features ranked."""
+    rows = _vectors(spark, d)
+    means = _means(rows)
+    pca = reduce.fit_pca(rows.select("id", "x"), means.shape[1], None, standardise=True)
+    found = reduce.center_features(pca, pca.project(means), _TOP)
+    return rounded(spark.createDataFrame([tuple(r.values()) for r in found], "cluster int, ranking string, nth int, feature string, standardised double, original double"), 4)
+
+
+@query(f"""with {_PLANE}, ax as (select *, b / sqrt(b * b + (l1 - a) * (l1 - a)) as u0, (l1 - a) / sqrt(b * b + (l1 - a) * (l1 - a)) as v0 from ev),
+ay as (select *, sign(case when abs(u0) >= abs(v0) then u0 else v0 end) as s1, sign(case when abs(v0) >= abs(u0) then -v0 else u0 end) as s2 from ax),
+ce as (select label as j, avg(x) as cx, avg(y) as cy from p join (select vec_id as i, label from embeddings) using (i) group by 1),
+di as (select i, j, x, y, cx, cy, greatest((x - cx) * (x - cx) + (y - cy) * (y - cy), 1e-12) as d2 from p, ce),
+me as (select *, (1 / d2) / sum(1 / d2) over (partition by i) as u from di),
+co as (select j, any_value(cx) as cx, any_value(cy) as cy, sum(u * u * (x - cx) * (x - cx)) / sum(u * u) as a, sum(u * u * (x - cx) * (y - cy)) / sum(u * u) as b, sum(u * u * (y - cy) * (y - cy)) / sum(u * u) as c from me group by 1),
+pr as (select j, s1 * ((cx - mx) * u0 + (cy - my) * v0) as x, s2 * ((cy - my) * u0 - (cx - mx) * v0) as y,
+         u0 * u0 * co.a + 2 * u0 * v0 * co.b + v0 * v0 * co.c as a, s1 * s2 * (u0 * v0 * (co.c - co.a) + (u0 * u0 - v0 * v0) * co.b) as b, v0 * v0 * co.a - 2 * u0 * v0 * co.b + u0 * u0 * co.c as c from co, ay),
+ei as (select *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) as e1, (a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b) as e2 from pr),
+an as (select *, degrees(atan2(e1 - a, b)) as g from ei)
+select cast(j as integer) as cluster, {rnd('x', 'x', 4)}, {rnd('y', 'y', 4)}, {rnd('4 * sqrt(e1)', 'width', 4)}, {rnd('4 * sqrt(e2)', 'height', 4)}, {rnd('case when g > 90 then g - 180 else g end', 'angle', 2)} from an""")
+def covariance_ellipses(spark, d):
+    """Fuzzy covariances around the label means on the first two coordinates, as ellipses of two deviations in the plane of the components."""
+    plane = _vectors(spark, d).select("id", "label", F.slice("x", 1, 2).alias("x"))
+    model = clustering.Clusters("fcm", _means(plane), 0.0, 0, True)
+    rows = plane.select("id", "x")
+    found = reduce.covariance_ellipses(reduce.fit_pca(rows, 2), model.centers, clustering.fuzzy_covariances(rows, model))
+    frame = spark.createDataFrame([tuple(r.values()) for r in found], "cluster int, x double, y double, width double, height double, angle double")
+    return frame.select("cluster", *[F.round(c, 2 if c == "angle" else 4).alias(c) for c in frame.columns[1:]])
+
+
 _Z = f"""{_SOFT}, a as ({' union all '.join(f"select {j} as cluster, '{c}' as attribute, (sum(u{j} * {c}) / sum(u{j}) - avg({c})) / (case when stddev_pop({c}) > 1e-12 then stddev_pop({c}) else 1e0 end) as z from sg" for j in (0, 1) for c in _DOM)}),
 rk as (select *, row_number() over (partition by cluster order by abs(z) desc, attribute) as n from a),
 fo as (select avg(greatest(0e0, least(1e0, (held - {3 / len(_DOM)!r}) / (1 - {3 / len(_DOM)!r})))) as focus from (select cluster, sum(case when n <= 3 then abs(z) end) / greatest(sum(abs(z)), 1e-12) as held from rk group by 1)),
