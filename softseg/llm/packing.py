@@ -62,14 +62,16 @@ class Packer:
 
     def add(self, doc: int, ids: bytes, loss: bytes | None = None) -> Iterator[list[Piece]]:
         """Take a document in; gives the sequences that became full."""
-        piece = Piece(doc, 0, ids, loss)
-        while len(piece) >= self.tokens:
-            head, rest = piece.cut(self.tokens)
+        at = 0
+        for at in range(self.tokens, len(ids) // 4 + 1, self.tokens):
+            # Cut by offset, so a long document is copied once.
+            start = at - self.tokens
+            head = Piece(doc, start, ids[4 * start : 4 * at], loss and loss[start:at])
             if head.loss_tokens <= self.loss:
                 yield [head]
             else:
                 self.waiting += self._bearable(head)
-            piece = rest
+        piece = Piece(doc, at, ids[4 * at :], loss and loss[at:])
         if len(piece):
             self.waiting += self._bearable(piece)
         if len(self.waiting) >= self.pool:
