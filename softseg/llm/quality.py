@@ -169,17 +169,35 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     known = known.groupBy("_id").agg(F.min("_label").alias("_label"), F.max("_label").alias("_most")).filter("_label = _most")
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows).select("_id", "_label")
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    sample = texts.join(F.broadcast(chosen), "_id")
+    # An id may repeat: what is bounded are the distinct pairs of id and text, by hashes, before any text is fetched.
+    sample = texts.join(F.broadcast(chosen), "_id").withColumn("_digest", F.xxhash64("_text"))
+    picked = sample.select(F.xxhash64("_id").alias("h"), "_id", "_digest").distinct().orderBy("h", "_id", "_digest").limit(sample_rows)
+    sample = sample.join(F.broadcast(picked.drop("h")), ["_id", "_digest"], "left_semi").groupBy("_id", "_label", "_digest").agg(F.first("_text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(N_FEATURES, bool)
         for batch in batches:
-            packed = [features(t.as_py(), seen).astype("<i4").tobytes() for t in batch.column(2)]
+            packed = [_packed(features(t.as_py(), seen)) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["id", "label", "found"])
 
     rows = sample.select("_id", "_label", "_text").mapInArrow(run, f"id {sample.schema['_id'].dataType.simpleString()}, label int, found binary")
     got = rows.select(F.xxhash64("id").alias("h"), "id", "label", "found").toPandas().sort_values(["h", "id", "found"])
-    return fit_model([np.frombuffer(f, "<i4") for f in got["found"]], got["label"].to_numpy())
+    return fit_model([_unpacked(f) for f in got["found"]], got["label"].to_numpy())
+
+
+def _packed(found: np.ndarray) -> bytes:
+    """Feature numbers, or one bit for each feature where that is less; their lengths tell which."""
+    if 4 * len(found) < N_FEATURES // 8:
+        return found.astype("<i4").tobytes()
+    bits = np.zeros(N_FEATURES, bool)
+    bits[found] = True
+    return np.packbits(bits).tobytes() + b"\0" * (3 - (len(bits) // 8 + 2) % 4)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    if len(raw) % 4 == 0:
+        return np.frombuffer(raw, "<i4")
+    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8))[:N_FEATURES]).astype("<i4")
 
 
 def _scored(rows: DataFrame, model: Model) -> DataFrame:
