@@ -7,7 +7,9 @@ discloses an entity e by their pointwise mutual information,
 
     PMI(e; t) = log2 (n(e, t) N / (n(e) n(t))),
 
-of documents that have t near e, e, and t.  It is at most the information
+of documents that have t near e, e, and t, where mentions of e that have t
+between the same two neighbours count once, so that copies of a text are one
+piece of evidence.  It is at most the information
 content of the entity, IC(e) = log2 (N / n(e)), which it reaches if t never
 stands elsewhere.  A term is disclosing if its PMI is at least ``BITS`` and
 falls short of IC(e) by at most ``GAP`` bits, with ``SUPPORT`` documents and as
@@ -220,8 +222,8 @@ def _near_counts(scanned: DataFrame, n_docs: int) -> DataFrame:
     weighed = held.filter((F.col("n_entity") >= SUPPORT) & (content >= BITS)).select("entity", "n_entity", F.explode("salts").alias("salt"))
     near = rows.join(weighed, ["entity", "salt"]).select("row", "entity", "n_entity", F.explode(F.concat(_near_terms(F.col("before")), _near_terms(F.col("after")))).alias("t"))
     once = near.groupBy("entity", "t.term", "row").agg(F.min("t.beside").alias("beside"), F.first("n_entity").alias("n_entity"))
-    found = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.count_distinct("beside").alias("n_beside"), F.max("n_entity").alias("n_entity"))
-    found = found.filter((F.col("n_both") >= SUPPORT) & (F.col("n_beside") >= SUPPORT)).drop("n_beside").withColumn("hash", _hash(F.col("term")))
+    found = once.groupBy("entity", "term").agg(F.count_distinct("beside").alias("n_both"), F.max("n_entity").alias("n_entity"))
+    found = found.filter(F.col("n_both") >= SUPPORT).withColumn("hash", _hash(F.col("term")))
     # A term stands in as many documents, at least, as have it near any mention: by that alone most common words disclose nothing.
     hashes = F.transform(F.concat(_near_terms(F.col("before")), _near_terms(F.col("after"))), lambda t: _hash(t["term"]))
     around = rows.select("row", F.explode(hashes).alias("hash")).distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_term"))

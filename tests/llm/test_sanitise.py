@@ -92,9 +92,10 @@ def brute_terms(rows):
                         beside[m.group(), term, i].add((at(j - 1), at(j + width)))
     out = {}
     for (e, t), docs in both.items():
-        pmi = math.log2(len(docs) * n / (len(entity[e]) * df[t]))
+        mentions = len({min(beside[e, t, i]) for i in docs})
+        pmi = math.log2(mentions * n / (len(entity[e]) * df[t]))
         content = math.log2(n / len(entity[e]))
-        if len(docs) >= 3 and len({min(beside[e, t, i]) for i in docs}) >= 3 and pmi >= 4 and pmi >= content - 1 and content >= 4:
+        if mentions >= 3 and pmi >= 4 and pmi >= content - 1 and content >= 4:
             out[t] = max(out.get(t, 0), pmi)
     return out
 
@@ -133,6 +134,15 @@ def test_terms_are_generalised_where_their_class_discloses_nothing(spark):
     assert "Qui*, without an address" in clean[305]
 
 
+def test_copies_are_one_piece_of_evidence(spark):
+    """A hundred copies of a text with an address disclose none of its rare words."""
+    text = f"{' '.join(FILL)} Rareword and Otherword j.q@mail.example.org Thirdword {' '.join(FILL)}"
+    rows = [(i, text) for i in range(100)] + [(100 + i, " ".join(FILL)) for i in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sanitise.find_personal(docs).collect()
+    assert len(found) == 3_100 and not any(r["terms"] for r in found) and sum(len(r["base"]) for r in found) == 100
+
+
 def test_odd_rows(odd, none):
     rows = sanitise.find_personal(odd).collect()
     assert len(rows) == odd.count() and all(r["base"] == [] and r["terms"] == [] for r in rows)
