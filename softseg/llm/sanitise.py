@@ -9,11 +9,10 @@ discloses an entity e by their pointwise mutual information,
 
 of documents that have t near e, e, and t, where mentions of e that have t
 between the same two neighbours count once, so that copies of a text are one
-piece of evidence.  It is at most the information
-content of the entity, IC(e) = log2 (N / n(e)), which it reaches if t never
-stands elsewhere.  A term is disclosing if its PMI is at least ``BITS`` and
-falls short of IC(e) by at most ``GAP`` bits, with ``SUPPORT`` documents and as
-many different neighbours behind it.  Disclosing terms are generalised to the
+piece of evidence.  It is at most the information content of the entity, IC(e)
+= log2 (N / n(e)), which it reaches if t never stands elsewhere.  A term is
+disclosing if its PMI is at least ``BITS`` and falls short of IC(e) by at most
+``GAP`` bits, with ``SUPPORT`` such mentions behind it.  Disclosing terms are generalised to the
 class of words that begin alike if that class discloses nothing, and removed
 otherwise; so are they where the entity itself is not mentioned.
 
