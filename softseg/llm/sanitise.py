@@ -16,8 +16,9 @@ disclosing if its PMI is at least ``BITS`` and falls short of IC(e) by at most
 class of words that begin alike if that class discloses nothing, and removed
 otherwise; so are they where the entity itself is not mentioned.
 
-All of it is DataFrame functions.  Terms travel as hashes; what does not meet
-a near term's hash leaves the scan by a bitmap of bounded size.
+All of it is DataFrame functions.  The words of all texts are hashed in one
+scan; what does not meet a near term's hash leaves it by bitmaps of bounded
+size, and what is left serves both the counts and the marks.
 """
 
 from __future__ import annotations
@@ -52,6 +53,8 @@ SUPPORT, BITS, GAP = 3, 4.0, 1.0
 REMOVED = "[removed]"
 #: Tasks, at most, over which the rows of one entity or document are spread.
 SALTS = 16
+#: Bits of the first of the two bitmaps of near terms, which the plan holds as a literal of 32 KB whatever the corpus.
+COARSE_BITS = 1 << 18
 #: Items of a prefix sum that are added up one by one.
 _BLOCK = 256
 
@@ -166,7 +169,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def _hash(term: Column) -> Column:
-    return F.xxhash64(term)
+    """The hash of a word, class or pair; that of a pair is taken of its two words, so a scan need not join them."""
+    return F.when(F.contains(term, F.lit(" ")), F.xxhash64(F.substring_index(term, " ", 1), F.substring_index(term, " ", -1))).otherwise(F.xxhash64(term))
 
 
 def _class_of(word: Column) -> Column:
@@ -177,10 +181,6 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM_WORD), F.lit(0))
 
 
-def _pairs_of(words: Column, made: Callable[[Column, Column], Column]) -> Column:
-    return F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), made)
-
-
 def _is_term(word: Column) -> Column:
     return F.char_length(word) >= TERM_CHARS
 
@@ -199,16 +199,25 @@ def _near_terms(context: Column) -> Column:
     return let(_words(context), of)
 
 
-def _term_hashes(text: Column) -> Column:
-    """Hashes of the distinct words, classes and pairs of a text."""
+def _coarse(near: DataFrame) -> Column:
+    """Whether ``hash`` may be among those of ``near``: a test by one bit of COARSE_BITS."""
+    word, bit = F.shiftright(F.pmod("hash", F.lit(COARSE_BITS)), 6), F.expr("shiftleft(1L, cast(hash & 63 as int))")
+    words = dict(near.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect())
+    bits = F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(COARSE_BITS // 64))), ",").cast("array<long>")
+    return F.getbit(F.get(bits, word.cast("int")), F.col("hash").bitwiseAND(F.lit(63)).cast("int")) == 1
 
-    def of(w: Column) -> Column:
-        terms = F.filter(F.array_distinct(w), _is_term)
-        classes = F.array_distinct(F.transform(terms, lambda t: _hash(_class_of(t))))
-        pairs = F.array_distinct(_pairs_of(w, lambda a, b: _hash(F.concat_ws(" ", a, b))))
-        return F.concat(F.transform(terms, _hash), classes, pairs)
 
-    return let(_words(text), of)
+def _seen(docs: DataFrame, near: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, key, hash) of the words, classes and pairs of all texts whose hash is among those of ``near``, once a row, written."""
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), _key(id_col, text_col).alias("key"), _words(text_or_empty(text_col)).alias("word"))
+    next_ = F.slice("word", F.lit(2), F.greatest(F.size("word") - 1, F.lit(0))).alias("next")
+    words = texts.select("row", "key", "word", next_).select("row", "key", F.explode(F.arrays_zip("word", "next")).alias("w"))
+    word, after = F.col("w.word"), F.col("w.next")
+    alone = F.when(_is_term(word), F.xxhash64(word))
+    class_ = F.when(_is_term(word), F.xxhash64(_class_of(word)))
+    pair = F.when(after.isNotNull(), F.xxhash64(word, after))
+    hashes = words.select("row", "key", F.explode(F.array(alone, class_, pair)).alias("hash")).filter(F.col("hash").isNotNull() & _coarse(near))
+    return materialise(bitmap_of(near, "hash").passed(hashes, "hash").distinct(), "sanitise-seen")
 
 
 def _near_counts(scanned: DataFrame, n_docs: int) -> DataFrame:
@@ -241,31 +250,34 @@ def _discloses(n_docs: int) -> Column:
 _DISCLOSING = "term string, hash long, generalise boolean, bits double"
 
 
-def disclosing_terms(docs: DataFrame, scanned: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, hash, generalise, bits): terms that disclose an entity, by counts over all documents, written.
-
-    ``generalise`` tells that the classes of the term's words disclose nothing.
-    """
+def _weigh(docs: DataFrame, scanned: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(term, hash, generalise, bits) of the terms that disclose, and where near terms stand; both written, the latter None without near terms."""
     n_docs = scanned.count()
     near = _near_counts(scanned, n_docs)
     if near.isEmpty():
-        return docs.sparkSession.createDataFrame([], _DISCLOSING)
-    near_hashes = bitmap_of(near.select("hash"), "hash")
-    hashes = docs.select(F.explode(_term_hashes(text_or_empty(text_col))).alias("hash"))
-    counts = near_hashes.passed(hashes, "hash").groupBy("hash").agg(F.count(F.lit(1)).alias("n_term"))
+        return docs.sparkSession.createDataFrame([], _DISCLOSING), None
+    seen = _seen(docs, near.select("hash"), id_col, text_col)
+    counts = seen.groupBy("hash").agg(F.count(F.lit(1)).alias("n_term"))
     over = materialise(near.join(counts, "hash").filter(_discloses(n_docs)).select("entity", "term", "hash", _bits(n_docs).alias("bits")), "sanitise-over")
     is_class = F.endswith("term", F.lit("*"))
     classes = over.filter(is_class).select("entity", F.col("term").alias("class"), F.lit(True).alias("discloses"))
     terms = over.filter(~is_class).select("entity", "term", "hash", "bits", F.explode(F.transform(F.split("term", " "), _class_of)).alias("class"))
     judged = terms.join(classes, ["entity", "class"], "left").groupBy("term", "hash").agg(F.every(F.col("discloses").isNull()).alias("generalise"), F.max("bits").alias("bits"))
-    return materialise(judged, "sanitise-terms")
+    return materialise(judged, "sanitise-terms"), seen
+
+
+def disclosing_terms(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(term, hash, generalise, bits): terms that disclose an entity, by counts over all documents, written.
+
+    ``generalise`` tells that the classes of the term's words disclose nothing.
+    """
+    return _weigh(docs, scanned, id_col, text_col)[0]
 
 
-def _marks(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _marks(seen: DataFrame, terms: DataFrame) -> DataFrame:
     """(key, marks map<term, generalise>) of the documents in which disclosing terms stand, written."""
-    seen = docs.select(_key(id_col, text_col).alias("key"), F.explode(_term_hashes(text_or_empty(text_col))).alias("hash"))
     # A term goes to all salts, so the documents of a common one are looked up in many tasks.
-    salted = bitmap_of(terms, "hash").passed(seen, "hash").withColumn("salt", F.pmod(F.crc32("key"), F.lit(SALTS)).cast("int"))
+    salted = seen.select("key", "hash", F.pmod(F.crc32("key"), F.lit(SALTS)).cast("int").alias("salt"))
     every = terms.select("term", "hash", "generalise", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     held = salted.join(every, ["hash", "salt"]).groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "generalise"))).alias("marks"))
     return materialise(held, "sanitise-marks")
@@ -326,11 +338,11 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scanned = scan(docs, id_col, text_col)
     base = F.transform("mentions", lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
     rows = scanned.select("row", "id", "key", base.alias("base"))
-    terms = disclosing_terms(docs, scanned, text_col)
+    terms, seen = _weigh(docs, scanned, id_col, text_col)
     kind = "array<struct<kind: string, start: int, end: int>>"
     if terms.isEmpty():
         return rows.select("id", "base", F.array().cast(kind).alias("terms"))
-    texts = _marked(docs, _marks(docs, terms, id_col, text_col), id_col, text_col).withColumn("base", _all_mentions(F.col("text")))
+    texts = _marked(docs, _marks(seen, terms), id_col, text_col).withColumn("base", _all_mentions(F.col("text")))
     added = F.transform(_term_spans(F.col("text"), F.col("marks"), F.col("base")), lambda s: F.struct(F.lit(TERM).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     found = materialise(texts.select("key", added.alias("terms")).filter(F.size("terms") > 0), "sanitise-added")
     # Rows that repeat id and text share a key: its spans go to all salts.
@@ -367,12 +379,12 @@ def _without_terms(text: Column, marks: Column, base: Column) -> Column:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with personal data out of ``text_col``: values by their kind, disclosing terms generalised or removed; nulls stay null."""
-    terms = disclosing_terms(docs, scan(docs, id_col, text_col), text_col)
+    terms, seen = _weigh(docs, scan(docs, id_col, text_col), id_col, text_col)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(id_col, text_col).alias("key"), text_or_empty(text_col).alias("text"))
     if terms.isEmpty():
         rows = packed.withColumn("clean", F.lit(None).cast("string"))
     else:
-        texts = _marked(docs, _marks(docs, terms, id_col, text_col), id_col, text_col).withColumn("base", _all_mentions(F.col("text")))
+        texts = _marked(docs, _marks(seen, terms), id_col, text_col).withColumn("base", _all_mentions(F.col("text")))
         clean = materialise(texts.select("key", _without_terms(F.col("text"), F.col("marks"), F.col("base")).alias("clean")), "sanitise-clean")
         every = clean.select("key", "clean", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         rows = packed.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(every, ["key", "salt"], "left")
