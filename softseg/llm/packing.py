@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import VOCABULARY, token_ids
@@ -148,15 +148,31 @@ class Packer:
 SCHEMA = "start long, length long, ids_crc32 long, loss_tokens long, doc_tokens long, sequence_id long, segment int, offset long"
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, with_ids: bool = False, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, pool: int = POOL) -> DataFrame:
+def _parts(docs: DataFrame, parts_col: str) -> Column:
+    return F.transform(F.col(f"`{parts_col}`"), lambda p: F.struct(p["text"].cast("string").alias("text"), F.coalesce(p["loss"].cast("boolean"), F.lit(False)).alias("loss"))).alias("parts")
+
+
+def _with_flags(parts: list[dict] | None, vocabulary: str) -> tuple[bytes, bytes]:
+    """Ids of the parts and the final one, and one flag a token."""
+    ids = [token_ids(p["text"], vocabulary) for p in parts or []]
+    flags = [bytes([p["loss"]]) * (len(i) // 4) for p, i in zip(parts or [], ids)]
+    last = parts[-1]["loss"] if parts else True
+    return b"".join(ids) + END, b"".join(flags) + bytes([last])
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, with_ids: bool = False, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, pool: int = POOL, parts_col: str | None = None) -> DataFrame:
     """One row per piece of each document: id, start, length, ids_crc32, loss_tokens, doc_tokens, sequence_id, segment, offset (and ids).
 
-    A document is its ids and a final id 0; every token bears loss.  Null and
-    empty texts are the final id alone; null and repeated ids are documents of
+    A document is its ids and a final id 0; every token bears loss.  With
+    ``parts_col``, an array of structs (text, loss), a document is its parts in
+    order, each tokenised by itself (``text_col`` is not read): a part's tokens
+    bear loss if its ``loss`` is true, the final id if the last part's is; a
+    document without parts bears it.  Null and empty texts, null arrays and
+    null parts are no ids but the final one; null and repeated ids are documents of
     their own; an empty table gives no rows.  ``sequence_id`` holds the
     partition in its upper bits, so equal input splits give equal sequences.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text") if parts_col is None else _parts(docs, parts_col))
     id_type = rows.schema["id"].dataType.simpleString()
     names = ["start", "length", "ids_crc32", "loss_tokens", "doc_tokens", "sequence_id", "segment", "offset"]
 
@@ -194,9 +210,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
             kind = batch.column(0).type
             out: list[list[Piece]] = []
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = token_ids(text.as_py(), vocabulary) + END
+                ids, flags = _with_flags(text.as_py(), vocabulary) if parts_col else (token_ids(text.as_py(), vocabulary) + END, None)
                 known[n_docs] = [id_, len(ids) // 4, len(ids) // 4]
-                out += packer.add(n_docs, ids)
+                out += packer.add(n_docs, ids, flags)
                 n_docs += 1
                 if len(out) >= 2048:
                     yield table(out)
