@@ -1,8 +1,9 @@
 """Quality classifier: a linear support vector machine on naive Bayes features.
 
-A text becomes the set of its byte bigrams and trigrams and of the runs of
-equal words in it.  Each indicator is scaled by the log-count ratio of the classes (naive Bayes), the vector is
-brought to unit length, and a squared-hinge linear model is fitted by dual
+A text becomes the set of its byte bigrams and trigrams and of its word
+six-grams, of which the pattern of equal words is kept.  Each indicator is
+scaled by the log-count ratio of the classes (naive Bayes), the vector is
+brought to unit length, and a linear model with hinge loss is fitted by dual
 coordinate descent.  A sigmoid fitted on rows that the model did not see turns
 margins into scores.
 
@@ -12,6 +13,7 @@ chosen by a hash of the id); scoring reads every whole text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,13 +28,13 @@ from .rows import packed, unpacked
 #: Labelled rows used for fitting; its features are what the driver collects.
 SAMPLE_ROWS = 6_000
 BITS = 16
-#: Indicators of words that repeat at once: runs of 2, 4, 8, ... equal words.
-RUNS = 8
-N_FEATURES = (1 << (BITS + 1)) + RUNS
+#: Words of an n-gram of which only the pattern of equal words is kept.
+GRAM = 6
+N_FEATURES = (1 << (BITS + 1)) + math.factorial(GRAM)
 #: Bytes looked at in one go; longer texts are read in overlapping pieces.
 PIECE = 1 << 20
 THRESHOLD = 0.3
-ALPHA, COST, EPOCHS, BETA = 1.0, 1.0, 20, 0.75
+ALPHA, COST, EPOCHS, BETA = 1.0, 1.0, 60, 0.75
 
 
 def features(text: str | None, seen: np.ndarray) -> np.ndarray:
@@ -44,25 +46,26 @@ def features(text: str | None, seen: np.ndarray) -> np.ndarray:
         seen[two + (1 << BITS)] = True
         if len(c) > 2:
             seen[(((two[:-1] << np.uint32(8)) | c[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BITS)] = True
-    longest = longest_run(text or "")
-    seen[(1 << (BITS + 1)) : (1 << (BITS + 1)) + min(longest.bit_length() - 1, RUNS)] = longest > 1
+    seen[patterns(text or "") + (1 << (BITS + 1))] = True
     found = np.flatnonzero(seen)
     seen[found] = False
     return found
 
 
-def longest_run(text: str) -> int:
-    """Length of the longest run of equal words."""
-    words = text.split()
-    longest = run = min(len(words), 1)
-    for a, b in zip(words, words[1:]):
-        if a == b:
-            run += 1
-            if run > longest:
-                longest = run
-        else:
-            run = 1
-    return longest
+def patterns(text: str) -> np.ndarray:
+    """For every six words in a row, which of them are equal: the place of each one's first equal, as a mixed-radix number.
+
+    Texts of fewer words have none.
+    """
+    words = np.fromiter(map(hash, text.split()), np.int64)
+    n = max(len(words) - GRAM + 1, 0)
+    code = np.zeros(n, np.int64)
+    for j in range(1, GRAM):
+        first = np.full(n, j)
+        for i in range(j - 1, -1, -1):
+            first[words[i : i + n] == words[j : j + n]] = i
+        code = code * (j + 1) + first
+    return code
 
 
 @dataclass(frozen=True)
@@ -93,31 +96,36 @@ def log_count_ratio(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.log(counts[1] / counts[-1]).astype(np.float32)
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, seed: int = 9) -> tuple[np.ndarray, float]:
-    """Squared-hinge SVM with bias, classes weighted inversely to their share."""
+def dual_coordinate_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, seed: int = 9, epochs: int = EPOCHS) -> tuple[np.ndarray, float, np.ndarray]:
+    """Hinge-loss SVM with bias: weights, bias and the dual variables.
+
+    A dual variable lies between 0 and the cost of its class, which is
+    inverse to the class's share.  Descent ends when no projected gradient of
+    an epoch exceeds 1e-3.
+    """
     values = []
     for r in rows:
         v = ratio[r]
         values.append(v / (np.sqrt(v @ v) or 1.0))
-    share = {s: max(1, int((y == s).sum())) for s in (1, -1)}
-    diag = {s: share[s] / len(y) / COST for s in (1, -1)}
+    most = {s: COST * len(y) / (2 * max(1, int((y == s).sum()))) for s in (1, -1)}
     w, bias, alpha = np.zeros(N_FEATURES, np.float32), 0.0, np.zeros(len(rows))
     rng = np.random.default_rng(seed)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         largest = 0.0
         for i in rng.permutation(len(rows)):
-            x, at, yi = values[i], rows[i], y[i]
-            grad = yi * (float(x @ w[at]) + bias) - 1 + diag[yi] * alpha[i]
-            new = max(0.0, alpha[i] - grad / (float(x @ x) + 1 + diag[yi]))
-            if new != alpha[i]:
-                step = (new - alpha[i]) * yi
-                largest = max(largest, abs(step))
-                w[at] += np.float32(step) * x
-                bias += step
-                alpha[i] = new
+            x, at, yi, c = values[i], rows[i], y[i], most[y[i]]
+            grad = yi * (float(x @ w[at]) + bias) - 1
+            if (alpha[i] <= 0 and grad >= 0) or (alpha[i] >= c and grad <= 0):
+                continue
+            largest = max(largest, abs(grad))
+            new = min(max(alpha[i] - grad / (float(x @ x) + 1), 0.0), c)
+            step = (new - alpha[i]) * yi
+            w[at] += np.float32(step) * x
+            bias += step
+            alpha[i] = new
         if largest < 1e-3:
             break
-    return w, bias
+    return w, bias, alpha
 
 
 def sigmoid_fit(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -147,7 +155,7 @@ def fit_model(rows: list[np.ndarray], labels: np.ndarray) -> Model:
         held = np.zeros(len(y), bool)
     train = [r for r, h in zip(rows, held) if not h]
     ratio = log_count_ratio(train, y[~held])
-    w, bias = dual_coordinate_descent(train, ratio, y[~held])
+    w, bias, _ = dual_coordinate_descent(train, ratio, y[~held])
     mean = float(np.abs(w).sum() / max(1, np.count_nonzero(w)))
     w = np.where(ratio != 0, (1 - BETA) * mean + BETA * w, 0).astype(np.float32)
     test = [(r, v) for r, v, h in zip(rows, y, held) if h or not held.any()]

@@ -124,6 +124,37 @@ def test_features_by_definition(monkeypatch):
     monkeypatch.setattr(quality, "PIECE", 7)
     assert (quality.features(text, seen) == found).all()
     assert len(quality.features(None, seen)) == len(quality.features("a", seen)) == 0
+    raw = "abcabcé xyz".encode() * 40
+    two = {(a << 8 | b) + (1 << 16) for a, b in zip(raw, raw[1:])}
+    three = {(((a << 16 | b << 8 | c) * 2654435761) & 0xFFFFFFFF) >> 16 for a, b, c in zip(raw, raw[1:], raw[2:])}
+    words = text.split()
+    six = set()
+    for i in range(len(words) - 5):
+        gram, code = words[i : i + 6], 0
+        for j, w in enumerate(gram):
+            code = code * (j + 1) + gram.index(w)
+        six.add(code + (1 << 17))
+    assert set(found.tolist()) == two | three | six
+
+
+def test_descent_reaches_the_optimum():
+    """Primal and dual objective of the hinge loss meet, and no dual variable leaves its bounds."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.choice(40, 12) + 10 * (rng.random() < (0.7 if i % 3 else 0.3))) for i in range(120)]
+    y = np.array([1 if i % 3 else -1 for i in range(120)])
+    ratio = np.zeros(quality.N_FEATURES, np.float32)
+    ratio[:60] = rng.normal(size=60)
+    w, bias, alpha = quality.dual_coordinate_descent(rows, ratio, y, epochs=2_000)
+    cost = np.where(y > 0, quality.COST * 120 / (2 * (y > 0).sum()), quality.COST * 120 / (2 * (y < 0).sum()))
+    x = np.zeros((120, 60))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.sqrt(ratio[r] @ ratio[r])
+    assert (alpha >= 0).all() and (alpha <= cost + 1e-9).all() and (alpha >= cost - 1e-9).any()
+    assert np.allclose(w[:60], (alpha * y) @ x, atol=1e-3) and abs(bias - alpha @ y) < 1e-6
+    norm = w[:60] @ w[:60] + bias**2
+    primal = norm / 2 + cost @ np.maximum(0, 1 - y * (x @ w[:60] + bias))
+    dual = alpha.sum() - norm / 2
+    assert primal - dual < 1e-2 * primal
 
 
 def test_descent_separates():

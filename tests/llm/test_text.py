@@ -142,23 +142,58 @@ def replaced(text, start, deleted, inserted):
     return text[:start] + inserted + text[start + max(deleted, 0) :]
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.text("ab, \n'1é", max_size=120), st.lists(st.tuples(st.integers(0, 140), st.integers(0, 30), st.text("ab \n's", max_size=12)), max_size=6))
+@settings(max_examples=150, deadline=None)
+@given(
+    st.lists(st.sampled_from(["a", "b ", "  ", "\n", "'s", "1", "é", "語", "!!", "<|endoftext|>", "<|endof", "text|>", "the x " * 90]), max_size=60).map("".join),
+    st.lists(st.tuples(st.integers(0, 1400), st.integers(0, 200), st.text("ab \n's<|", max_size=12)), max_size=6),
+)
 def test_trees_follow_edits(text, edits):
-    tree = token_tree.TokenTree(text, count, leaf_chars=9)
+    tree = token_tree.TokenTree(text)
     for e in edits:
         tree.edit(*e)
         text = replaced(text, *e)
         assert tree.text == text and tree.chars == len(text) and tree.tokens == count(text)
+        sizes = token_tree.sizes_of(text)
+        assert tree.leaves == (sizes, token_tree.counts_of(text, sizes))
+
+
+def test_leaves_are_pretokens():
+    text = "it's 12 words,  here<|endoftext|> é\n"
+    sizes = token_tree.sizes_of(text)
+    ends = np.cumsum(sizes)
+    pieces = [text[e - n : e] for n, e in zip(sizes, ends)]
+    assert pieces == ["it", "'s", " 12", " words", ",", " ", " here", "<|endoftext|>", " é", "\n"]
+    assert token_tree.counts_of(text, sizes) == [count(p) for p in pieces]
+
+
+def height_fits(node):
+    return node.left is None or (abs(node.left.height - node.right.height) <= 1 and height_fits(node.left) and height_fits(node.right))
 
 
 def test_edits_reencode_little(texts):
-    text = max(texts.values(), key=lambda t: t.count(" "))
-    tree = token_tree.TokenTree(text, count)
-    before = tree.encoded
-    tree.edit(len(text) // 2, 5, "new words here")
-    assert tree.tokens == count(replaced(text, len(text) // 2, 5, "new words here"))
-    assert tree.encoded - before < 4 * (token_tree.LEAF_CHARS + 400)
+    """Of a text of some million characters, and of one that has no spaces."""
+    rng = np.random.default_rng(6)
+    for text in (" ".join(texts.values()), "aGk3+b/9" * 5_000):
+        tree = token_tree.TokenTree(text)
+        for _ in range(40):
+            before, at = tree.encoded, int(rng.integers(len(text)))
+            tree.edit(at, 5, "x, new words")
+            text = replaced(text, at, 5, "x, new words")
+            assert tree.encoded - before < 1_000
+        assert tree.tokens == count(text) and height_fits(tree.root)
+
+
+def test_stored_leaves_serve_later_edits(spark, documents, texts):
+    edits = F.array(F.struct(F.lit(7).alias("start"), F.lit(3).alias("deleted"), F.lit("new ").alias("inserted")))
+    stored = token_tree.token_leaves(documents)
+    first = token_tree.edit_leaves(stored, edits)
+    again = token_tree.edit_leaves(first.select("id", "text", "sizes", "counts"), edits).collect()
+    assert len(again) == len(texts)
+    for r in again:
+        once = replaced(texts[r["id"]] or "", 7, 3, "new ")
+        twice = replaced(once, 7, 3, "new ")
+        assert (r["text"], r["n_tokens"], r["edited_tokens"]) == (twice, count(once), count(twice))
+        assert r["sizes"] == token_tree.sizes_of(twice) and sum(r["counts"]) == r["edited_tokens"] and r["reencoded_chars"] <= len(twice) + 30
 
 
 def test_edit_query(spark, sf, texts):
@@ -179,6 +214,7 @@ def test_edits_odd_rows(odd, none):
     assert rows[1]["edited_tokens"] == count("XY ") and rows[4]["edited_tokens"] == count("onXY e")
     assert token_tree.count_edits(none, edits).collect() == []
     assert all(r["n_tokens"] == r["edited_tokens"] for r in token_tree.count_edits(odd, F.lit(None)).collect())
+    assert token_tree.token_leaves(none).collect() == [] and token_tree.token_leaves(odd).count() == odd.count()
 
 
 def brute_anchors(text):
