@@ -1,4 +1,7 @@
+import functools
+import operator
 from datetime import datetime
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -6,6 +9,7 @@ from pyspark.sql import functions as F
 
 from softseg.functions import scalars
 from softseg.operators import clustering, compliance, counts, fuzzify, heuristics, indicators, profiles, quantiles, reduce, rules, scale, validity
+from softseg.plans.catalogue import queries
 
 
 def test_titles(spark):
@@ -193,3 +197,14 @@ def test_exact_quantiles_of_many_rows(spark):
     got = quantiles.exact_quantiles(rows, {"a": F.col("a"), "b": F.col("b")}, qs, small_rows=10, accuracy=100)
     assert got["a"] == pytest.approx(list(np.quantile(data, qs))) and got["a"] == pytest.approx(quantiles.exact_quantiles(rows, {"a": F.col("a")}, qs)["a"])
     assert got["b"] == pytest.approx(list(np.quantile([float(i % 3) for i in range(len(data))] + [1.0], qs)))
+
+
+def test_a_bound_on_a_sum_does_not_depend_on_the_order_of_its_terms(spark, tmp_path):
+    terms = [0.1, 0.02, 0.08, 0.1, 0.05, 0.03, 0.07, 0.05]
+    orders = list(permutations(terms, 8))
+    off = [o for o in orders if functools.reduce(operator.add, o) > 0.5][:3]
+    assert off
+    rows = [(part, 1.0, 2.0, x) for part, o in enumerate(off) for x in o] + [(7, 1.0, 2.0, 0.7), (8, 1.0, 2.0, 0.9), (9, 1.0, 2.0, float("nan")), (9, 1.0, 2.0, 0.1), (10, 1.0, 2.0, None)]
+    spark.createDataFrame(rows, "l_partkey long, l_quantity double, l_extendedprice double, l_discount double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["l_partkey"]: r["discount"] for r in queries()["impute_median"](spark, str(tmp_path)).collect()}
+    assert got == {0: 0.8, 1: 0.8, 2: 0.8, 7: 0.7, 8: 0.9, 9: 0.8, 10: 0.8}
