@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from softseg.operators import blocks, clustering, counts, indicators, many, quantiles, reduce, validity, ward
+from softseg.operators import blocks, clustering, counts, heuristics, indicators, many, quantiles, reduce, validity, ward
 
 
 @pytest.fixture(scope="module")
@@ -266,3 +266,27 @@ def test_quantiles_narrow_more_than_once(spark):
     assert got["a"] == pytest.approx(list(np.quantile(a, qs))) and got["b"] == pytest.approx(list(np.quantile(b, qs))) and got["none"] == [None] * len(qs)
     table = {r["indicator"]: r for r in indicators.summary(rows, ["a", "b"]).collect()}
     assert table["a"]["p50"] == pytest.approx(np.median(a)) and table["b"]["p75"] == 7.0 and table["a"]["n"] == 20_000
+
+
+def test_similar_posts_are_compared_by_kind(spark, monkeypatch):
+    """Repeated posts and ids, zeros, a single kind: as all pairs give, from as many comparisons as there are kinds."""
+    rng = np.random.default_rng(5)
+    data = [(i % 290, int(rng.integers(0, 4)), int(rng.integers(0, 5)), int(rng.integers(0, 2))) for i in range(300)] + [(1000, 9, 1, 1), (1001, 0, 0, 0)]
+    posts = spark.createDataFrame(data, "post_id long, comment_count long, like_count long, has_video int").repartition(3)
+    want: dict[int, tuple] = {}
+    for p, *a in data:
+        if p % 10 == 0:
+            cos = [np.dot(a, b) / n if (n := np.sqrt(np.dot(a, a)) * np.sqrt(np.dot(b, b))) else 0.0 for q, *b in data if q != p]
+            best, close = want.get(p, (-1.0, 0))
+            want[p] = max(best, max(cos)), close + sum(c >= 0.99 for c in cos)
+    for block in (7, 1 << 14):
+        got = {r["post_id"]: (r["best"], r["n_close"]) for r in heuristics.post_similarity(posts.filter("post_id % 10 = 0"), posts, block=block).collect()}
+        assert got.keys() == want.keys() and all(got[p][0] == pytest.approx(want[p][0]) and got[p][1] == want[p][1] for p in want)
+    taken, cosines = [], heuristics._cosines
+    for n in (1, 40):
+        many_ = posts.select((F.col("post_id") + 0).alias("post_id"), "comment_count", "like_count", "has_video").crossJoin(spark.range(n).select(F.col("id").alias("copy"))).withColumn("post_id", F.col("post_id") + 10_000 * F.col("copy"))
+        cells = spark.sparkContext.accumulator(0)
+        monkeypatch.setattr(heuristics, "_cosines", lambda q, v, cells=cells: (cells.add(q.shape[0] * v.shape[0]), cosines(q, v))[1])
+        heuristics.post_similarity(many_.filter("post_id = 1000 or post_id % 10000 > 280"), many_).collect()
+        taken.append(cells.value)
+    assert taken[1] <= 2 * taken[0]
