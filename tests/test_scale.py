@@ -151,6 +151,33 @@ def test_silhouettes_of_more_rows_than_a_sample(spark):
     assert validity.crisp_silhouette(rows.filter("label = 0")) != validity.crisp_silhouette(rows.filter("label = 0"))  # one label: NaN
 
 
+def test_silhouettes_of_several_models_share_their_distances(vectors, monkeypatch):
+    x, _ = arrays(vectors)
+    models = [clustering.Clusters("fcm", x[:k], 0.0, 0, True) for k in (2, 5, 3)] + [clustering.Clusters("kmeans", np.stack([x.mean(0), x.mean(0) + 1e6]), 0.0, 0, True)]
+    passes, whole = [], validity.distance_totals
+    monkeypatch.setattr(validity, "distance_totals", lambda *a: passes.append(1) or whole(*a))
+    for asked in (None, vectors.filter("id % 7 = 0")):
+        got, n = validity.model_silhouettes(vectors, models, asked), len(passes)
+        want = [validity.crisp_silhouette(m.assign(vectors), None if asked is None else m.assign(asked)) for m in models]
+        assert got == pytest.approx(want, nan_ok=True) and np.isnan(got[3])
+        assert n == 1
+        passes.clear()
+
+
+def test_runs_of_gk_possibilistic_and_k_means_equal_single_runs(spark, vectors):
+    tracker = spark.sparkContext.statusTracker()
+    for method, options in (("gk", {"max_iter": 20}), ("pfcm", {"max_iter": 20}), ("kmeans", {"n_init": 3})):
+        spark.sparkContext.setJobGroup(method, "")
+        best, runs = clustering.with_restarts(method, vectors, 3, [1, 2], **options)
+        jobs = len(tracker.getJobIdsForGroup(method))
+        spark.sparkContext.setJobGroup("rest", "")
+        for run, seed in zip(runs, (1, 2)):
+            one = clustering.run_method(method, vectors, 3, seed, **options)
+            assert np.allclose(run.centers, one.centers, atol=1e-6) and run.iterations == one.iterations and run.objective == pytest.approx(one.objective)
+        # Fuzzy starts take up to 50 steps; a step is one job, or two where its plan is adapted.
+        assert jobs <= 2 * (max(r.iterations for r in runs) + 1 + (50 if method != "kmeans" else 3)) + 14
+
+
 def test_pairwise_fuzzy_silhouette(vectors):
     x, got = arrays(vectors)
     model = clustering.Clusters("fcm", x[:3], 0.0, 0, True)
@@ -290,3 +317,31 @@ def test_similar_posts_are_compared_by_kind(spark, monkeypatch):
         heuristics.post_similarity(many_.filter("post_id = 1000 or post_id % 10000 > 280"), many_).collect()
         taken.append(cells.value)
     assert taken[1] <= 2 * taken[0]
+
+
+def test_rows_of_one_file_are_met_by_several_tasks(spark, vectors):
+    """And tiles give plain distances, for blocks that are no multiple of a tile."""
+    x, _ = arrays(vectors)
+    rows = vectors.select("x").coalesce(1)
+    asked = rows.withColumn("nth", F.monotonically_increasing_id())
+    parts = blocks.meet(asked, rows, (), (), lambda q, more: (lambda x, batch: None, lambda: [np.ones(len(q))]), "one double")
+    assert parts.groupBy("nth").count().agg(F.min("count")).first()[0] > 1
+    q = np.concatenate([x, x])[: blocks.TILE + 9] + 3.0
+    found = np.empty((len(q), len(x)))
+    for at, d2 in blocks.tiles(q)(x):
+        found[at] = d2
+    assert np.allclose(found, ((q[:, None] - x[None]) ** 2).sum(2))
+
+
+def test_last_rounds_of_ward_ask_for_few_distances(monkeypatch):
+    """Of 1,500 vectors, against single joins; a round asks only for clusters that are new or whose nearest is gone."""
+    x = np.random.default_rng(3).normal(size=(1_500, 4))
+    asked, plain = [], ward._cheapest
+    monkeypatch.setattr(ward, "_cheapest", lambda q, *a: asked.append(len(q)) or plain(q, *a))
+    merges = ward._local([{"c": 10 + i, "n": 1.0, "x": list(v), "h": 0.0} for i, v in enumerate(x)], 5_000)
+    live = {10 + i: (v, 1.0) for i, v in enumerate(x)}
+    for node, a, b, height, n in merges:
+        (v, s), (w, r) = live.pop(a), live.pop(b)
+        assert height == pytest.approx(np.sqrt(2 * s * r / (s + r) * ((v - w) ** 2).sum())) and n == s + r
+        live[node] = ((v * s + w * r) / n, n)
+    assert len(merges) == 1_499 and len(live) == 1 and asked[0] == 1_500 and sum(asked) < 6 * 1_500
