@@ -345,3 +345,19 @@ def test_last_rounds_of_ward_ask_for_few_distances(monkeypatch):
         assert height == pytest.approx(np.sqrt(2 * s * r / (s + r) * ((v - w) ** 2).sum())) and n == s + r
         live[node] = ((v * s + w * r) / n, n)
     assert len(merges) == 1_499 and len(live) == 1 and asked[0] == 1_500 and sum(asked) < 6 * 1_500
+
+
+def test_subsample_trees_grow_side_by_side(spark):
+    """Fits that wait for each other end, and keep their order and seeds."""
+    import threading
+
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 3)]) for i in range(60)], "id long, x array<double>")
+    met, seen = threading.Barrier(3), []
+
+    def fit(part, seed):
+        met.wait(60)
+        seen.append(seed)
+        return clustering.lloyd(part, np.array([[0.0, 0.0], [6.0, 2.0]]), 3)
+
+    alone = validity.subsample_stability(rows, lambda part, seed: clustering.lloyd(part, np.array([[0.0, 0.0], [6.0, 2.0]]), 3), 3)
+    assert validity.subsample_stability(rows, fit, 3) == alone and sorted(seen) == [1, 2, 3]
